@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, warc
+from . import langid, minhash, pieces, warc
 from .scratch import table
 
 
@@ -10,11 +10,23 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark, table(spark, sf_dir, "documents"))
+
+
+#: The tokenizer's model file on the driver.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(spark, table(spark, sf_dir, "documents"), MODEL_PATH)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op10_minhash": op10_minhash}
+QUERIES = {"op1_warc": op1_warc, "op5_langid": op5_langid, "op9_pieces": op9_pieces, "op10_minhash": op10_minhash}
 
 ORACLE_SQL = {
     "op1_warc": """
