@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, pieces, warc
+from . import ann, langid, minhash, passages, pieces, warc
 from .scratch import table
 
 
@@ -10,6 +10,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(spark, table(spark, sf_dir, "documents"), MODEL_PATH)
 
@@ -26,7 +34,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op5_langid": op5_langid, "op9_pieces": op9_pieces, "op10_minhash": op10_minhash}
+QUERIES = {"op1_warc": op1_warc, "op3_ann": op3_ann, "op5_langid": op5_langid, "op7_passages": op7_passages, "op9_pieces": op9_pieces, "op10_minhash": op10_minhash}
 
 ORACLE_SQL = {
     "op1_warc": """
