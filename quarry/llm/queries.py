@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, minhash, passages, pieces, warc
+from . import ann, decontam, langid, licenses, minhash, passages, pieces, warc
 from .scratch import table
 
 
@@ -14,6 +14,10 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeats(spark, table(spark, sf_dir, "documents"))
 
@@ -34,7 +42,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_ann": op3_ann, "op5_langid": op5_langid, "op7_passages": op7_passages, "op9_pieces": op9_pieces, "op10_minhash": op10_minhash}
+QUERIES = {"op1_warc": op1_warc, "op3_ann": op3_ann, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op6_decontam": op6_decontam, "op7_passages": op7_passages, "op9_pieces": op9_pieces, "op10_minhash": op10_minhash}
 
 ORACLE_SQL = {
     "op1_warc": """

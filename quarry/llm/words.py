@@ -11,6 +11,9 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.arange(1, 257, dtype=np.uint64)
 _BYTE[65:91] += np.uint64(32)
 _BYTE[_SPACE] = 0
+#: The same, with ASCII punctuation standing between words too.
+_BARE = _BYTE.copy()
+_BARE[[b for b in range(128) if not chr(b).isalnum()]] = 0
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 CHUNK_BYTES = 2 << 20
 
@@ -28,18 +31,24 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, and for each text the place of its first word; one more place at the end."""
+def word_places(texts: list[bytes], bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all words; for each text the place of its first word, and one more place at the end; for each word its first
+    byte in the texts joined by one byte. bare: words end at ASCII punctuation too."""
+    table = _BARE if bare else _BYTE
     data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    word = ~_SPACE[data]
+    word = (table > 0)[data]
     first = np.flatnonzero(word & np.r_[True, ~word[:-1]]) if len(data) else np.zeros(0, np.int64)
     if not len(first):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), first
     run = np.diff(np.r_[first, len(data)])
     at = np.arange(first[0], len(data)) - np.repeat(first, run)
-    sums = np.add.reduceat(_BYTE[data[first[0] :]] * powers(_BASE, int(run.max()))[at], first - first[0])
-    return mix(sums), np.r_[0, np.searchsorted(first, ends)].astype(np.int64)
+    sums = np.add.reduceat(table[data[first[0] :]] * powers(_BASE, int(run.max()))[at], first - first[0])
+    return mix(sums), np.r_[0, np.searchsorted(first, ends)].astype(np.int64), first
+
+
+def word_hashes(texts: list[bytes], bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    return word_places(texts, bare)[:2]
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
