@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, langid, licenses, minhash, passages, pieces, warc
+from . import ann, decontam, langid, licenses, minhash, passages, pieces, pii, warc
 from .scratch import table
 
 
@@ -34,6 +34,10 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeats(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(spark, table(spark, sf_dir, "documents"), MODEL_PATH)
 
@@ -42,7 +46,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_ann": op3_ann, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op6_decontam": op6_decontam, "op7_passages": op7_passages, "op9_pieces": op9_pieces, "op10_minhash": op10_minhash}
+QUERIES = {"op1_warc": op1_warc, "op3_ann": op3_ann, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op6_decontam": op6_decontam, "op7_passages": op7_passages, "op8_pii": op8_pii, "op9_pieces": op9_pieces, "op10_minhash": op10_minhash}
 
 ORACLE_SQL = {
     "op1_warc": """
