@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, langid, licenses, minhash, passages, pieces, pii, warc
+from . import ann, decontam, langid, licenses, lines, minhash, passages, pieces, pii, warc
 from .scratch import table
 
 
@@ -10,6 +10,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark, table(spark, sf_dir, "embeddings"))
 
@@ -46,7 +50,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_ann": op3_ann, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op6_decontam": op6_decontam, "op7_passages": op7_passages, "op8_pii": op8_pii, "op9_pieces": op9_pieces, "op10_minhash": op10_minhash}
+QUERIES = {"op1_warc": op1_warc, "op2_lines": op2_lines, "op3_ann": op3_ann, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op6_decontam": op6_decontam, "op7_passages": op7_passages, "op8_pii": op8_pii, "op9_pieces": op9_pieces, "op10_minhash": op10_minhash}
 
 ORACLE_SQL = {
     "op1_warc": """
@@ -57,6 +61,24 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM m""",
+    "op2_lines": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text <> ''),
+w AS (SELECT *, list_sort(list_distinct(list_filter(string_split(translate(lower(line), chr(9) || chr(13) || chr(11) || chr(12), '    '), ' '), lambda t: t <> ''))) AS ws FROM l),
+c AS (SELECT ws, min((doc_id, pos)) AS rank, row_number() OVER () AS k FROM w WHERE len(ws) > 0 GROUP BY ws),
+t AS (SELECT k, unnest(ws) AS t FROM c),
+-- two sets that match share one of the first words of each in one order of all words
+f AS (SELECT t, count(*) AS f FROM t GROUP BY t),
+o AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY f, t) AS i FROM t JOIN f USING (t)),
+p AS (SELECT o.k, o.t FROM o JOIN c USING (k) WHERE i <= len(ws) - ceil(len(ws) * 4 / 5.0) + 1),
+q AS (SELECT DISTINCT a.k AS x, b.k AS y FROM p a JOIN p b ON a.t = b.t AND a.k <> b.k),
+m AS (SELECT DISTINCT q.y FROM q JOIN c x ON x.k = q.x JOIN c y ON y.k = q.y
+      WHERE x.rank < y.rank AND len(list_intersect(x.ws, y.ws)) * 9 >= (len(x.ws) + len(y.ws)) * 4),
+r AS (SELECT w.doc_id, w.pos, w.line, c.k IS NOT NULL AND (m.y IS NOT NULL OR c.rank <> (w.doc_id, w.pos)) AS gone
+      FROM w LEFT JOIN c ON c.ws = w.ws LEFT JOIN m ON m.y = c.k)
+SELECT d.doc_id, CASE WHEN coalesce(n, 0) = 0 THEN d.text ELSE coalesce(kept, '') END AS text, coalesce(n, 0)::INT AS n_removed
+FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id) s USING (doc_id)""",
     "op10_minhash": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
