@@ -223,3 +223,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     found = sig.drop("keys", "sig").join(known, ["set_a", "set_b"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return found.select("*", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows, with all their columns, of the documents that near_duplicates() keeps: one doc_id of each component, and all rows
+    without doc_id."""
+    found = Scratch(spark, "near").save(near_duplicates(spark, docs, percent).where("not kept").select(F.col("doc_id").alias("__doc_id")).distinct(), "late")
+    return docs.join(found, F.col("doc_id").cast("long") == F.col("__doc_id"), "left_anti")
