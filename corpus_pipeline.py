@@ -1,8 +1,50 @@
-"""The training-data pipeline: documents in, encoded documents out."""
+"""The training-data pipeline: documents in, encoded documents out.
 
-STAGES = []
+Each stage takes what the one before it kept, written as Parquet and read again.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quarry.llm import decontam, langid, lines, minhash, pieces
+from quarry.llm.scratch import Scratch, table
+
+#: The tokenizer's model file, on the driver.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is known: those without a letter, or as near to two languages, go."""
+    return langid.with_language(spark, docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier one go from the texts; documents stay."""
+    return lines.without_later_lines(spark, docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicate documents the one with the smallest doc_id stays."""
+    return minhash.without_near_duplicates(spark, docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontam.without_benchmark(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_ids and round_trip of each document."""
+    return pieces.encode_documents(spark, docs, MODEL_PATH)
+
+
+STAGES = [("language", language), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("encoding", encoding)]
+
+#: SQL can't express the first and the last stage.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+    return docs
