@@ -122,17 +122,21 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, le
     return found
 
 
-def without_benchmark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """The rows, with all their columns, that cover no item."""
+def leaks(shared, min_coverage: float):
+    """A column function: does a text cover an item of a broadcast block?"""
     import pandas as pd
 
-    for shared in blocks(spark, benchmark, least):
+    @F.pandas_udf("boolean")
+    def run(text: pd.Series) -> pd.Series:
+        texts = [t.encode() if isinstance(t, str) else b"" for t in text]
+        hit = {r[0] for r in shared.value.found(texts, min_coverage)}
+        return pd.Series([i in hit for i in range(len(texts))], dtype=bool)
+
+    return run
 
-        @F.pandas_udf("boolean")
-        def leaks(text: pd.Series, shared=shared) -> pd.Series:
-            texts = [t.encode() if isinstance(t, str) else b"" for t in text]
-            hit = {r[0] for r in shared.value.found(texts, min_coverage)}
-            return pd.Series([i in hit for i in range(len(texts))])
 
-        docs = docs.where(~leaks(F.col("text").cast("string")))
+def without_benchmark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """The rows, with all their columns, that cover no item."""
+    for shared in blocks(spark, benchmark, least):
+        docs = docs.where(~leaks(shared, min_coverage)(F.col("text").cast("string")))
     return docs
