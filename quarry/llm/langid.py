@@ -60,7 +60,11 @@ class Model:
     def __init__(self, counts: pd.DataFrame):
         """counts: lang, k (length of the context), gram (context and byte), n."""
         self.langs = sorted(counts.lang.unique())
+        if not self.langs:
+            return
         wide = {k: counts[counts.k == k].pivot_table(index="gram", columns="lang", values="n", aggfunc="sum", fill_value=0).reindex(columns=self.langs, fill_value=0) for k in range(4)}
+        # The contexts of three bytes have numbers among the triples, also those that begin in the three line feeds.
+        wide[2] = wide[2].reindex(np.union1d(wide[2].index.to_numpy(np.int64), wide[3].index.to_numpy(np.int64) >> 8), fill_value=0)
         many = len(self.langs)
         cost, self.escape = np.full((256, many), 8.0), [None] * 4
         grams, below = [None] * 4, None
