@@ -204,35 +204,32 @@ def within(p: Column, width: int):
     return lambda q: (q > p) & (q - p <= width)
 
 
-def search(postings: DataFrame, kind: str, cols: list[str], query: str, analyser: str = "plain") -> DataFrame:
-    """doc of the documents of a kind that match. A column that the kind lacks is an error, as a query that can't be parsed is."""
-    tree = parse(query, analyser)
-    asked = leaves(tree)
-    for leaf in asked:
+def flag(leaf: Leaf, cols: list[str]) -> Column:
+    """Does a document hold a leaf? An aggregate over its postings."""
+    on = [leaf.col] if leaf.col else cols
+    if len(leaf.phrases) == 1 and len(leaf.phrases[0]) == 1:
+        return F.max(F.col("col").isin(on) & term_is(leaf, leaf.phrases[0], 0))
+    out = None
+    for c in on:
+        starts = [phrase_starts(leaf, p, c) for p in leaf.phrases]
+        here = F.size(starts[0]) > 0 if len(starts) == 1 else close(starts, [len(p) for p in leaf.phrases], leaf.near)
+        out = here if out is None else out | here
+    return out
+
+
+def search_all(postings: DataFrame, kind: str, cols: list[str], queries: dict[str, str], analyser: str = "plain") -> DataFrame:
+    """doc, query for the documents of a kind that match each of several named queries: one scan of the postings of all their terms, one
+    grouping. A column that the kind lacks is an error, as a query that can't be parsed is."""
+    trees = {name: parse(q, analyser) for name, q in queries.items()}
+    flags, found, wanted = {}, [], F.lit(False)
+    for leaf in (x for tree in trees.values() for x in leaves(tree)):
         if leaf.col is not None and leaf.col not in cols:
             raise BadQuery(f"no such column: {leaf.col}")
-    wanted = None
-    for leaf in asked:
         for phrase in leaf.phrases:
             for i in range(len(phrase)):
-                one = term_is(leaf, phrase, i)
-                wanted = one if wanted is None else wanted | one
-    found, flags = [], {}
-    for k, leaf in enumerate(asked):
-        on = [leaf.col] if leaf.col else cols
-        simple = len(leaf.phrases) == 1 and len(leaf.phrases[0]) == 1
-        if simple:
-            hit = F.max((F.col("col").isin(on)) & term_is(leaf, leaf.phrases[0], 0))
-        else:
-            per_col = []
-            for c in on:
-                starts = [phrase_starts(leaf, p, c) for p in leaf.phrases]
-                per_col.append(F.size(starts[0]) > 0 if len(starts) == 1 else close(starts, [len(p) for p in leaf.phrases], leaf.near))
-            hit = per_col[0]
-            for x in per_col[1:]:
-                hit = hit | x
-        flags[id(leaf)] = f"leaf{k}"
-        found.append(hit.alias(f"leaf{k}"))
+                wanted = wanted | term_is(leaf, phrase, i)
+        flags[id(leaf)] = f"leaf{len(flags)}"
+        found.append(flag(leaf, cols).alias(flags[id(leaf)]))
 
     def truth(node) -> Column:
         if isinstance(node, Leaf):
@@ -243,7 +240,14 @@ def search(postings: DataFrame, kind: str, cols: list[str], query: str, analyser
             out = out | x if node.op == "or" else out & x if node.op == "and" else out & ~x
         return out
 
-    return postings.where((F.col("kind") == kind) & wanted).groupBy("doc").agg(*found).where(truth(tree)).select("doc")
+    docs = postings.where((F.col("kind") == kind) & wanted).groupBy("doc").agg(*found)
+    names = F.filter(F.array(*(F.when(truth(tree), F.lit(name)) for name, tree in trees.items())), lambda x: x.isNotNull())
+    return docs.select("doc", F.explode(names).alias("query"))
+
+
+def search(postings: DataFrame, kind: str, cols: list[str], query: str, analyser: str = "plain") -> DataFrame:
+    """doc of the documents of a kind that match one query."""
+    return search_all(postings, kind, cols, {"": query}, analyser).select("doc")
 
 
 def two_sided(postings: DataFrame, comments: DataFrame, query: str, analyser: str = "plain") -> tuple[DataFrame, DataFrame]:

@@ -67,10 +67,7 @@ def some_hits(spark: SparkSession, d: str) -> DataFrame:
 SELECT p.id, p.sub, p.score, m.n::INT AS n, m.matched FROM m JOIN p ON p.id = m.id WHERE p.created >= 1704067200 + 6000""")
 def flagship(spark, d):
     posts = hits.post_filters(A.posts(spark, d), after=A.EPOCH + 6000)
-    found = None
-    for name, q, _ in SEARCHES:
-        one = fulltext.search(post_postings(spark, d), "post", ["selftext"], q).select(F.col("doc").alias("id"), F.lit(name).alias("query"))
-        found = one if found is None else found.unionByName(one)
+    found = fulltext.search_all(post_postings(spark, d), "post", ["selftext"], {name: q for name, q, _ in SEARCHES}).withColumnRenamed("doc", "id")
     ranked = hits.matched_posts(found, posts.select("id", "sub", "score"))
     return ranked.select("id", "sub", "score", "n", F.array_join("matched_by", "|").alias("matched"))
 
