@@ -5,8 +5,9 @@ Tokens are ordered by rarity: the words of all lines are counted in BUCKETS buck
 count (on a scale of quarters of an octave), then its hash. Any one order of all tokens gives the same matches; this one makes the
 lists short. Two sets of sizes n and m with a Jaccard similarity of at least 0.8 share a token among the first n - ceil(0.8 n) + 1
 of one and m - ceil(0.8 m) + 1 of the other in that order (prefix filter), their sizes differ by no more than that factor (length
-filter), and what follows the shared token must hold enough (positional filter). What passes is bounded by two 64-bit maps of the
-sets, and at last verified on the sets themselves, built anew from the text.
+filter), and what follows their first shared tokens must hold enough (positional filter: by its place where one token is known,
+and by the number of shared prefix tokens where all are). What passes is bounded by two 64-bit maps of the sets, and at last verified on
+the sets themselves, built anew from the text.
 
 A line is removed if an earlier one matches it. One match is enough, so a first round compares each class only with the first of
 each list and the one before it; that settles the members of large groups of near copies, and the second round compares
@@ -23,10 +24,15 @@ BUCKETS = 1 << 17
 BLANK = "\t\r\x0b\x0c"
 
 
+def own_id() -> Column:
+    """doc_id; a null one ranks first."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc, text_key, pos, line. A null doc_id ranks first."""
+    """doc, text_key, pos, line."""
     text = F.col("text").cast("string")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), text.alias("text")).where(F.length("text") > 0)
+    rows = docs.select(own_id().alias("doc"), text.alias("text")).where(F.length("text") > 0)
     return rows.select("doc", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
@@ -50,14 +56,19 @@ def levels(lines: DataFrame) -> bytearray:
 def token_codes(line: Column, level: bytearray) -> Column:
     """The distinct tokens of a line, rarest first: the bucket's level in the upper 8 bits, the hash in the others."""
     hashes = F.array_distinct(F.transform(F.array_remove(line_words(line), ""), lambda w: F.xxhash64(w)))
-    of = lambda t: F.ascii(F.substring(F.lit(level), (bucket(t) + 1).cast("int"), F.lit(1)).cast("string")).cast("long")
-    return F.sort_array(F.transform(hashes, lambda t: F.shiftleft(of(t), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))))
+    table = F.split(F.lit(",".join(map(str, level))), ",").cast("array<bigint>")  # a constant: folded once, looked up by place
+    return F.sort_array(F.transform(hashes, lambda t: F.shiftleft(F.get(table, bucket(t).cast("int")), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))))
 
 
 def bit_map(tokens: Column, shift: int) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, shift).bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def lacks(one: Column, other: Column) -> Column:
+    """How many tokens of a set the other lacks at least: a bit of its map that the other's lacks is such a token."""
+    return F.bit_count(one.bitwiseAND(F.bitwise_not(other)))
+
+
 def need(n: Column, num: int, den: int) -> Column:
     """The smallest overlap of a set of size n with one that matches it: ceil(n * num / den)."""
     return F.floor((n * num + (den - 1)) / den)
@@ -72,16 +83,16 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, level: bytea
     """The pairs (x, y: digests a of classes) that match, as y_a, y_b."""
     maps = classes.select("a", "b", "n", "m1", "m2")
     both = pairs.join(maps.select(*(F.col(c).alias(f"x_{c}") for c in maps.columns)), F.col("x") == F.col("x_a")).join(maps.select(*(F.col(c).alias(f"y_{c}") for c in maps.columns)), F.col("y") == F.col("y_a"))
-    # A bit of one map that the other lacks is a token that the other lacks.
-    lacks = lambda p, q: F.greatest(*(F.bit_count(F.col(f"{p}_{m}").bitwiseAND(F.bitwise_not(f"{q}_{m}"))) for m in ("m1", "m2")))
-    most = F.least(F.col("x_n") - lacks("x", "y"), F.col("y_n") - lacks("y", "x"))
+    missing = lambda p, q: F.greatest(*(lacks(F.col(f"{p}_{m}"), F.col(f"{q}_{m}")) for m in ("m1", "m2")))
+    most = F.least(F.col("x_n") - missing("x", "y"), F.col("y_n") - missing("y", "x"))
     left = scratch.save(both.where(enough(most, F.col("x_n"), F.col("y_n"), num, den)).select("x_a", "x_b", "y_a", "y_b"), f"{name}-left")
     used = left.select(F.col("x_a").alias("a"), F.col("x_b").alias("b")).unionByName(left.select(F.col("y_a").alias("a"), F.col("y_b").alias("b"))).distinct()
-    place = classes.join(used, ["a", "b"]).select("a", "b", "rank.doc", "rank.text_key", "rank.pos")
-    place = scratch.save(place.groupBy("doc", "text_key").agg(F.collect_list(F.struct("pos", "a", "b")).alias("at")), f"{name}-place")
-    text = F.col("text").cast("string")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text")).join(place, ["doc", "text_key"])
-    sets = rows.select(F.split("text", "\n", -1).alias("lines"), F.explode("at").alias("at")).select("at.a", "at.b", token_codes(F.element_at("lines", F.col("at.pos") + 1), level).alias("t"))
+    place = classes.join(used, ["a", "b"]).select("a", "b", "rank.doc", "rank.pos")
+    place = scratch.save(place.groupBy("doc").agg(F.collect_list(F.struct("pos", "a", "b")).alias("at")), f"{name}-place")
+    rows = docs.select(own_id().alias("doc"), F.col("text").cast("string").alias("text")).join(place, "doc")
+    # Only the lines that are asked for leave the array of a text.
+    lines = rows.select(F.split("text", "\n", -1).alias("lines"), "at").select(F.explode(F.zip_with("at", F.transform("at", lambda x: F.get("lines", x.pos)), lambda x, line: F.struct(x.a.alias("a"), x.b.alias("b"), line.alias("line")))).alias("x"))
+    sets = lines.select("x.a", "x.b", token_codes(F.col("x.line"), level).alias("t")).where(F.xxhash64("t") == F.col("a"))
     sets = scratch.save(sets.dropDuplicates(["a", "b"]), f"{name}-sets")
     pair = left.join(sets.select(F.col("a").alias("x_a"), F.col("b").alias("x_b"), F.col("t").alias("x_t")), ["x_a", "x_b"]).join(sets.select(F.col("a").alias("y_a"), F.col("b").alias("y_b"), F.col("t").alias("y_t")), ["y_a", "y_b"])
     good = pair.where(enough(F.size(F.array_intersect("x_t", "y_t")), F.size("x_t"), F.size("y_t"), num, den))
@@ -96,39 +107,67 @@ def later_matches(spark: SparkSession, docs: DataFrame, scratch: Scratch, num: i
     level = levels(split)
     codes = split.select("doc", "text_key", "pos", token_codes(F.col("line"), level).alias("t")).where(F.size("t") > 0)
     n = F.size("t")
-    rows = codes.select(
+    full = codes.select(
         "doc", "text_key", "pos", F.xxhash64("t").alias("a"), F.xxhash64(F.lit(7), "t").alias("b"), n.alias("n"),
         F.slice("t", F.lit(1), (n - need(n, num, den) + 1).cast("int")).alias("prefix"), bit_map(F.col("t"), 0).alias("m1"), bit_map(F.col("t"), 6).alias("m2"),
     )
-    rows = scratch.save(rows, "rows")
-    classes = rows.groupBy("a", "b").agg(F.min(F.struct("doc", "text_key", "pos")).alias("rank"), F.count(F.lit(1)).alias("lines"), *(F.first(c).alias(c) for c in ("n", "prefix", "m1", "m2")))
+    full = scratch.save(full, "full")
+    here = F.struct("doc", "pos")
+    classes = full.groupBy("a", "b").agg(F.min(here).alias("rank"), F.count(F.lit(1)).alias("lines"), *(F.first(c).alias(c) for c in ("n", "prefix", "m1", "m2")))
     classes = scratch.save(classes, "classes")
-
-    post = classes.select("a", "n", F.col("rank.doc").alias("doc"), F.col("rank.text_key").alias("text_key"), F.col("rank.pos").alias("pos"), F.posexplode("prefix").alias("i", "tok"))
-    in_list = Window.partitionBy("tok").orderBy("doc", "text_key", "pos")
-    me = F.struct("a", "n", "i")
-    near = post.select("a", "n", "i", F.first(me).over(in_list).alias("first"), F.lag(me, 1).over(in_list).alias("before"))
-    near = near.select("a", "n", "i", F.explode(F.array_distinct(F.array("first", "before"))).alias("x")).where("x is not null and x.a <> a")
-
-    def could(n1, i1, n2, i2):
-        """Length and positional filters; i is the place of the shared token in the order."""
-        rest = F.least(n1 - i1, n2 - i2)
-        return (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & enough(rest, n1, n2, num, den)
-
-    first = near.where(could(F.col("n"), F.col("i"), F.col("x.n"), F.col("x.i"))).select(F.col("x.a").alias("x"), F.col("a").alias("y")).distinct()
+    rows = scratch.save(full.select("doc", "text_key", "pos", "a", "b"), "rows")
+    scratch.drop("full")
+
+    def postings(classes: DataFrame, pos: Column) -> DataFrame:
+        """One narrow row for each prefix token. size_at: the set's size in the upper half, the token's place in the lower."""
+        each = classes.select("a", "n", "m1", F.col("rank.doc").alias("doc"), pos.alias("pos"), F.posexplode("prefix").alias("i", "tok"))
+        return each.select("tok", "a", "doc", "pos", "m1", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size_at"))
+
+    def size(p: str) -> Column:
+        return F.shiftright(F.col(f"{p}size_at"), 32)
+
+    def could(p: str, q: str) -> Column:
+        """The length filter and the bound by one map, of two sides; the same for each token that they share."""
+        n1, n2 = size(p), size(q)
+        shared = F.least(n1 - lacks(F.col(f"{p}m1"), F.col(f"{q}m1")), n2 - lacks(F.col(f"{q}m1"), F.col(f"{p}m1")))
+        return (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & enough(shared, n1, n2, num, den)
+
+    def at_first(p: str, q: str) -> Column:
+        """The positional filter: after a first shared token, what follows it must hold enough."""
+        rest = F.least(size(p) - F.col(f"{p}size_at").bitwiseAND(F.lit(0xFFFFFFFF)), size(q) - F.col(f"{q}size_at").bitwiseAND(F.lit(0xFFFFFFFF)))
+        return enough(rest, size(p), size(q), num, den)
+
+    in_list = Window.partitionBy("tok").orderBy("doc", "pos")
+    me = F.struct("a", "size_at", "m1")
+    near = postings(classes, F.col("rank.pos")).select("a", "size_at", "m1", F.first(me).over(in_list).alias("first"), F.lag(me, 1).over(in_list).alias("before"))
+    near = near.select("a", "size_at", "m1", F.explode(F.array_distinct(F.array("first", "before"))).alias("x")).where("x is not null and x.a <> a")
+    first = near.where(could("", "x.") & at_first("", "x.")).select(F.col("x.a").alias("x"), F.col("a").alias("y")).distinct()
     gone = verified(docs, classes, scratch.save(first, "first"), level, num, den, scratch, "round1")
 
-    left = classes.join(gone, (classes["a"] == gone["y_a"]) & (classes["b"] == gone["y_b"]), "left_anti")
-    x, y = post.alias("x"), left.select("a", "n", F.col("rank.doc").alias("doc"), F.col("rank.text_key").alias("text_key"), F.col("rank.pos").alias("pos"), F.posexplode("prefix").alias("i", "tok")).alias("y")
-    earlier = F.struct("x.doc", "x.text_key", "x.pos") < F.struct("y.doc", "y.text_key", "y.pos")
-    pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & earlier & could(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"))).select(F.col("x.a").alias("x"), F.col("y.a").alias("y")).distinct()
-    more = verified(docs, classes, scratch.save(pairs, "pairs"), level, num, den, scratch, "round2")
-    scratch.drop("first", "pairs")
+    # Both sides of the second round are one table, so one exchange serves both: that a class is settled is told by a place below 0,
+    # and asked in one expression with the other side, which can't be moved below the exchange.
+    settled = gone.select(F.col("y_a").alias("a"), F.col("y_b").alias("b"), F.lit(True).alias("settled"))
+    flagged = classes.select("a", "b", "n", "m1", "rank", "prefix").join(settled, ["a", "b"], "left")
+    flagged = scratch.save(flagged.withColumn("at", F.when(F.col("settled"), -1 - F.col("rank.pos")).otherwise(F.col("rank.pos"))).select("a", "n", "m1", "rank.doc", "at", "prefix"), "flagged")
+    slim = scratch.save(classes.drop("prefix"), "slim")
+    scratch.drop("first", "classes")
+    post = postings(flagged.withColumn("rank", F.struct("doc")), F.col("at"))
+    x, y = post.alias("x"), post.alias("y")
+    place = lambda p: F.greatest(F.col(f"{p}.pos"), -1 - F.col(f"{p}.pos"))
+    earlier = F.struct(F.col("x.doc"), place("x"), F.col("x.a")) < F.struct(F.when(F.col("y.pos") >= 0, F.col("y.doc")), place("y"), F.col("y.a"))
+    pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & earlier & could("x.", "y."))
+    pairs = pairs.groupBy(F.col("x.a").alias("x"), F.col("y.a").alias("y"), size("x.").alias("n1"), size("y.").alias("n2")).agg(F.count(F.lit(1)).alias("c"))
+    # What two sets share beyond the prefix that ends first stands behind that prefix: its size bounds what can still follow.
+    behind = F.greatest(*(need(F.col(n), num, den) - 1 for n in ("n1", "n2")))
+    pairs = scratch.save(pairs.where(enough(F.col("c") + behind, F.col("n1"), F.col("n2"), num, den)).select("x", "y"), "pairs")
+    scratch.drop("flagged")
+    classes = slim
+    more = verified(docs, classes, pairs, level, num, den, scratch, "round2")
 
     state = classes.where("lines > 1").select("a", "b", "rank").join(gone.unionByName(more).distinct().select(F.col("y_a").alias("a"), F.col("y_b").alias("b"), F.lit(True).alias("late")), ["a", "b"], "full")
     state = scratch.save(state, "state")
-    here = F.struct("doc", "text_key", "pos")
-    lost = rows.select("doc", "text_key", "pos", "a", "b").join(state, ["a", "b"]).where(F.coalesce("late", F.lit(False)) | (here != F.col("rank")))
+    scratch.drop("pairs", "slim")
+    lost = rows.join(state, ["a", "b"]).where(F.coalesce("late", F.lit(False)) | (here != F.col("rank")))
     return lost.groupBy("doc", "text_key").agg(F.collect_set("pos").alias("gone"))
 
 
@@ -136,14 +175,14 @@ def remove_later(spark: SparkSession, docs: DataFrame, num: int = 4, den: int =
     """The rows, with all their columns; text is without the lines that an earlier line matches with at least num / den, and a
     column n_chars, where there is one, is its new length.
 
-    Lines rank by doc_id (null first), a hash of the text and place. Rows equal in doc_id and text are one document and get equal
-    results. Lines without words stay; null and empty texts come back as they are. A text that loses all its lines is empty."""
+    Lines rank by doc_id (null first) and place. Rows with one doc_id rank alike: equal lines at one place of both are no later one
+    of each other, so rows equal in doc_id and text get equal results. Lines without words stay; null and empty texts come back as they are. A text that loses all its lines is empty."""
     scratch = Scratch(spark, "lines")
     gone = scratch.save(later_matches(spark, docs, scratch, num, den), "gone")
-    scratch.drop("rows", "classes", "state", "round1-matched", "round2-matched")
+    scratch.drop("rows", "state", "round1-matched", "round2-matched")
     text = F.col("text").cast("string")
     lost = gone.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"))
-    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__doc")) & (F.xxhash64(text) == F.col("__key"))
+    on = (own_id() == F.col("__doc")) & (F.xxhash64(text) == F.col("__key"))
     joined = docs.join(lost, on, "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     new = F.when(F.col("__gone").isNull(), text).otherwise(kept)
