@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm import decontam, langid, lines, minhash, pieces
 from quarry.llm.scratch import Scratch, table
 
+#: Documents with so many percent of their word shingles in common are near duplicates.
+NEAR_PERCENT = 80
+
 #: The tokenizer's model file, on the driver.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -24,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate documents the one with the smallest doc_id stays."""
-    return minhash.without_near_duplicates(spark, docs)
+    return minhash.without_near_duplicates(spark, docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

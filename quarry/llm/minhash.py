@@ -2,21 +2,25 @@
 
 1. A document is the set of its distinct 5-word shingles; equal sets fall into one class, which takes part once.
 2. A class gets COORDS minima. The first POSTED of them are posted, each under its coordinate and value. Two sets with a
-   Jaccard similarity of 0.85 agree in POSTED - 15 or fewer of those with a probability below 1e-5, so pairs that agree in
-   POSTED_MATCH are wanted. By the prefix principle such a pair meets in the first POSTED - POSTED_MATCH + 1 postings of both
-   in any one order of all postings. The order here is by list length: lists of one document come first and use up the prefix
-   without making a posting, and the long lists (of common passages) are skipped unless nearly all of a document is common.
-3. In a list the collisions of all COORDS coordinates are counted (on their low bytes); pairs with MATCH of them are linked.
+   Jaccard similarity of just the threshold agree in fewer than posted_match of those with a probability of at most
+   POSTED_MISS, so pairs that agree in posted_match are wanted (both counts follow from the threshold, see needed()). By the
+   prefix principle such a pair meets in the first POSTED - posted_match + 1 postings of both in any one order of all
+   postings. The order here is by list length: lists of one document come first and use up the prefix without making a
+   posting, and the long lists (of common passages) are skipped unless nearly all of a document is common.
+3. In a list the collisions of all COORDS coordinates are counted (on their low bytes); pairs with as many as step 2 asks of
+   all COORDS (with MISS) are linked.
    Only a forest of such links leaves a list: a document that is linked already is compared with no more than each document
    outside the largest tree. Lists of over LIST_ROWS are dealt in pairs of blocks.
 4. The components of these links hold every pair that could pass. For each the full sets are built from the texts, and links
    with 100 * intersection >= percent * union are found exactly, again as a forest, in pairs of blocks where a component has
    over BLOCK_SHINGLES shingles. The components of these links are the result.
 
-What can be lost is a pair that MinHash misses in 2 or 3 (below 1e-4 for a pair exactly at the threshold, and less for closer
-ones or where other documents link the two). Nothing is capped.
+What can be lost is a pair that MinHash misses in 2 or 3 (at most POSTED_MISS + MISS for a pair exactly at the threshold, and
+less for closer ones or where other documents link the two). Nothing is capped.
 """
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,7 +28,8 @@ from . import words
 from .components import components
 from .scratch import Scratch
 
-COORDS, POSTED, POSTED_MATCH, MATCH = 64, 32, 18, 43
+COORDS, POSTED = 64, 32
+POSTED_MISS, MISS = 2e-5, 1e-4
 LIST_ROWS, BLOCK_SHINGLES = 4000, 2_000_000
 _MULTIPLY = words.mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
@@ -120,23 +125,39 @@ def link_batches(links: list):
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def list_links(batches):
-    """Sorted postings (key, rep, sig) to links."""
-    links = []
-    for group in grouped(batches, "key"):
-        if group.num_rows < 2:
-            continue
-        reps = group.column("rep").to_numpy()
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, COORDS)
-        if len(reps) == 2:
-            if np.count_nonzero(sig[0] == sig[1]) >= MATCH:
-                links.append((reps[0], reps[1]))
-        else:
-            links += [(reps[i], reps[j]) for i, j in forest(len(reps), lambda i: np.count_nonzero(sig == sig[i], axis=1) >= MATCH)]  # noqa: B023
-        if len(links) > 50_000:
-            yield link_batches(links)
-            links = []
-    yield link_batches(links)
+def needed(n: int, percent: int, miss: float) -> int:
+    """The largest number, 1 at least, of n coordinates in which two sets with so many percent in common agree but for a
+    probability of at most miss."""
+    p, below = percent / 100, 0.0
+    for k in range(n):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > miss:
+            return max(k, 1)
+    return n
+
+
+def list_links(percent: int):
+    """Sorted postings (key, rep, sig) to links between signatures that agree as sets of at least percent do."""
+    match = needed(COORDS, percent, MISS)
+
+    def find(batches):
+        links = []
+        for group in grouped(batches, "key"):
+            if group.num_rows < 2:
+                continue
+            reps = group.column("rep").to_numpy()
+            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, COORDS)
+            if len(reps) == 2:
+                if np.count_nonzero(sig[0] == sig[1]) >= match:
+                    links.append((reps[0], reps[1]))
+            else:
+                links += [(reps[i], reps[j]) for i, j in forest(len(reps), lambda i: np.count_nonzero(sig == sig[i], axis=1) >= match)]  # noqa: B023
+            if len(links) > 50_000:
+                yield link_batches(links)
+                links = []
+        yield link_batches(links)
+
+    return find
 
 
 def exact_links(percent: int):
@@ -202,10 +223,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     postings = reps.select("rep", F.explode("keys").alias("key"))
     lists = s.save(postings.groupBy("key").agg(F.count(F.lit(1)).alias("len")).where("len > 1"), "lists")
     slots = postings.join(lists, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("len", "key"))).alias("slots"))
-    room = F.greatest(F.lit(POSTED - POSTED_MATCH + 1 - POSTED) + F.size("slots"), F.lit(0))
+    room = F.greatest(F.lit(1 - needed(POSTED, percent, POSTED_MISS)) + F.size("slots"), F.lit(0))
     prefix = slots.select("rep", F.explode(F.slice("slots", 1, room)).alias("x")).select("rep", F.col("x.key").alias("list"), F.ceil(F.col("x.len") / LIST_ROWS).cast("long").alias("blocks"))
     dealt = in_blocks(prefix.join(reps.select("rep", "sig"), "rep"), "blocks", "list", "rep", "sig")
-    maybe = s.save(by_key(dealt).mapInArrow(list_links, "a long, b long"), "maybe")
+    maybe = s.save(by_key(dealt).mapInArrow(list_links(percent), "a long, b long"), "maybe")
     group = components(maybe, s, "maybe")
 
     group = group.join(reps.groupBy("rep").agg(F.max("n").alias("n")), F.col("node") == F.col("rep")).select("root", "rep", "n")

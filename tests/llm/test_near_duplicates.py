@@ -1,8 +1,10 @@
+import math
 import random
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from quarry.llm import components, lines, minhash, words
 from quarry.llm.scratch import Scratch
 
@@ -88,6 +90,34 @@ def test_filter_keeps_one_of_each(spark):
     assert got.columns == df.columns and {r.kept for r in got.collect()} == {"x", "z", "n"}
 
 
+def test_pipeline_stage_at_80_percent(spark):
+    r = random.Random(8)
+    rows, n = [], 0
+    for gap in range(60):  # runs of words changed in the middle: n shingles, of which 5 to 30 differ on each side
+        w = [f"v{gap}x{i}" for i in range(r.randint(60, 160))]
+        x = list(w)
+        at, k = r.randint(10, 40), r.randint(1, 10)
+        x[at : at + k] = [f"new{gap}x{i}" for i in range(k)]
+        rows += [(n, " ".join(w)), (n + 1, " ".join(x))]
+        n += 2
+    sets = {i: shingles(t) for i, t in rows}
+    between = [i for i in range(0, n, 2) if 0.8 <= len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.85]
+    assert len(between) >= 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == sorted(i for i, _, _, kept in brute(rows, 80) if kept) and not any(i + 1 in got for i in between)
+
+
+def test_needed_matches_follow_the_threshold():
+    assert (minhash.needed(64, 85, minhash.MISS), minhash.needed(32, 85, minhash.POSTED_MISS)) == (43, 18)
+    for percent in range(1, 101):
+        for size, miss in ((64, minhash.MISS), (32, minhash.POSTED_MISS)):
+            k, p = minhash.needed(size, percent, miss), percent / 100
+            below = lambda m: sum(math.comb(size, i) * p**i * (1 - p) ** (size - i) for i in range(m))  # noqa: B023, E731
+            assert k == 1 or below(k) <= miss
+            assert k == size or below(k + 1) > miss
+
+
 def test_shingles_in_chunks():
     texts = [b"", b" ", "é a b".encode(), b"a b c d e f " * 9, b"A  B c\x0bd e f"]
     sets = words.shingle_sets(texts)
