@@ -2,9 +2,10 @@
 
 A text falls into units: its lines, and within a line the sentences (passages may start and end inside a line). A unit is
 normalised (lower case, runs of white space as one space) and hashed to 128 bits; digests are grouped over all documents. The
-earliest occurrence by doc_id and place stays. Later ones go where they stand in an unbroken run of such units with at least
-MIN_WORDS words, so a short sentence that happens to occur twice stays where it is. The spans that went are kept as offsets into
-the original text.
+earliest occurrence by doc_id and place stays. Later ones go where they are a whole line or paragraph (lines up to an empty one)
+of at least LINE_WORDS words. Sentences inside a line go where they stand in an unbroken run of repeated units with at least
+MIN_WORDS words, so a short sentence that happens to occur twice within lines stays where it is. The spans that went are kept as
+offsets into the original text.
 """
 
 import hashlib
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .scratch import Scratch
 
-MIN_WORDS = 25
+MIN_WORDS, LINE_WORDS = 25, 3
 _BETWEEN = re.compile(r"\s*\n\s*|(?<=[.!?])\s+")
 
 
@@ -30,17 +31,36 @@ def units(text: str):
         at = m.end() if m else end
 
 
-def unit_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, pos, start, end, n_words, a, b (the digest) for each unit."""
+def places(text: str, min_words: int, line_words: int | None):
+    """pos, until (the first and the last unit), start, end, words, whole (an entire line or more) and normalised text: of each
+    unit, and of lines and paragraphs of several units with line_words or more. Those with min_words are left out, as their units
+    are a run that is long enough."""
+    found = list(units(text))
+    line, paragraph, lines = 0, 0, []
+    for k, (start, end, n, norm) in enumerate(found):
+        breaks = text.count("\n", end, found[k + 1][0]) if k + 1 < len(found) else 2
+        yield k, k, start, end, n, breaks > 0 and line == k, norm
+        if not breaks:
+            continue
+        lines.append(" ".join(x[3] for x in found[line : k + 1]))
+        for first, whole in ((line, lines[-1:]), (paragraph, lines))[: 2 if breaks > 1 and paragraph < line else 1]:
+            words = sum(x[2] for x in found[first : k + 1])
+            if first < k and line_words is not None and line_words <= words < min_words:
+                yield first, k, found[first][0], end, words, True, "\n".join(whole)
+        line = k + 1
+        if breaks > 1:
+            paragraph, lines = k + 1, []
 
-    def run(batches):
-        import pyarrow as pa
 
+def unit_rows(docs: DataFrame, min_words: int, line_words: int | None) -> DataFrame:
+    """doc_id, text_key, pos, until, start, end, n_words, whole, a, b (the digest) for each of places()."""
+
+    def run(batches):
         for batch in batches:
             rows, digests = [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
-                for pos, (start, end, n, norm) in enumerate(units(text or "")):
-                    rows.append((row, pos, start, end, n))
+                for *at, norm in places(text or "", min_words, line_words):
+                    rows.append((row, *at))
                     digests.append(hashlib.blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 if len(rows) > 200_000:
                     yield batch_of(batch, rows, digests)
@@ -50,21 +70,42 @@ def unit_rows(docs: DataFrame) -> DataFrame:
     def batch_of(batch, rows, digests):
         import pyarrow as pa
 
-        r = np.array(rows, dtype=np.int64).reshape(-1, 5)
+        r = np.array(rows, dtype=np.int64).reshape(-1, 7)
         d = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
         take = pa.array(r[:, 0])
-        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(r[:, i].astype(np.int32)) for i in range(1, 5)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc_id", "text_key", "pos", "start", "end", "n_words", "a", "b"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(r[:, i].astype(np.int32)) for i in range(1, 6)), pa.array(r[:, 6] > 0), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc_id", "text_key", "pos", "until", "start", "end", "n_words", "whole", "a", "b"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, pos int, start int, end int, n_words int, a long, b long")
+    return docs.mapInArrow(run, "doc_id long, text_key long, pos int, until int, start int, end int, n_words int, whole boolean, a long, b long")
 
 
-def runs_to_remove(min_words: int):
-    """A column: of the repeated units of a text, sorted by place, the unbroken runs with enough words, as spans."""
-    zero = "cast(array() as array<struct<first: int, last: int, start: int, end: int, words: int>>)"
-    step = """CASE WHEN size(acc) > 0 AND acc[size(acc) - 1].last = x.pos - 1
-      THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', acc[size(acc) - 1].first, 'last', x.pos, 'start', acc[size(acc) - 1].start, 'end', x.end, 'words', acc[size(acc) - 1].words + x.n_words)))
-      ELSE concat(acc, array(named_struct('first', x.pos, 'last', x.pos, 'start', x.start, 'end', x.end, 'words', x.n_words))) END"""
-    return F.expr(f"transform(filter(aggregate(seen, {zero}, (acc, x) -> {step}), r -> r.words >= {min_words}), r -> named_struct('start', r.start, 'end', r.end))")
+def spans_to_remove(min_words: int, line_words: int | None):
+    """doc_id, text_key, seen (the repeated places of a text, sorted) to doc_id, text_key, removed (start, end): whole lines and
+    paragraphs with line_words, and unbroken runs of units with min_words; spans that touch are one."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(2)
+            text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            pos, until, start, end, n, whole = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            unit = pos == until
+            at = text[unit] << 32 | pos[unit]
+            words = np.bincount(np.cumsum(np.diff(at, prepend=-2) != 1), n[unit])
+            go = words[np.cumsum(np.diff(at, prepend=-2) != 1)] >= min_words
+            if line_words is not None:
+                go |= whole[unit] & (n[unit] >= line_words)
+                low, high = (np.searchsorted(at, text[~unit] << 32 | x[~unit], side) for x, side in ((pos, "left"), (until, "right")))
+                for a, b in zip(low, high):
+                    go[a:b] = True
+            at, start, end, text = at[go], start[unit][go], end[unit][go], text[unit][go]
+            new = np.diff(at, prepend=-2) != 1
+            last = np.r_[new[1:], True] if len(new) else new
+            ids, sizes = np.unique(text[new], return_counts=True)
+            spans = pa.StructArray.from_arrays([pa.array(start[new], pa.int32()), pa.array(end[last], pa.int32())], ["start", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), batch.column(1).take(pa.array(ids)), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), spans)], ["doc_id", "text_key", "removed"])
+
+    return run
 
 
 def cut(text: str, spans) -> str:
@@ -85,29 +126,30 @@ def cut(text: str, spans) -> str:
     return kept if kept.strip() or not text.strip() else ""
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
     """doc_id, text_key, removed (array of start, end) of the texts that lose something."""
-    found = unit_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.col("text").cast("string").alias("text")).where("text is not null and text <> ''"))
+    found = unit_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.col("text").cast("string").alias("text")).where("text is not null and text <> ''"), min_words, line_words)
     scratch = Scratch(spark, "passages")
     place = F.struct("doc_id", "text_key", "pos")
     twice = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("a", "b", "first")
     twice = scratch.save(twice, "twice")
-    later = found.join(twice, ["a", "b"]).where(place > F.col("first")).select("doc_id", "text_key", "pos", "start", "end", "n_words")
-    # At most the units of one text meet here.
-    seen = later.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("pos", "start", "end", "n_words")))).alias("seen"))
-    return seen.select("doc_id", "text_key", runs_to_remove(min_words).alias("removed")).where(F.size("removed") > 0)
+    later = found.join(twice, ["a", "b"]).where(place > F.col("first")).select("doc_id", "text_key", "pos", "until", "start", "end", "n_words", "whole")
+    # At most the places of one text meet here.
+    seen = later.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("pos", "until", "start", "end", "n_words", "whole")))).alias("seen"))
+    return seen.mapInArrow(spans_to_remove(min_words, line_words), "doc_id long, text_key long, removed array<struct<start: int, end: int>>")
 
 
 def text_key():
     return F.xxhash64(F.col("text").cast("string")).alias("text_key")
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
     """doc_id, text (what is left), n_removed, removed (spans of the original text) for each row.
 
+    Without line_words lines count as any other unit; the query gives LINE_WORDS.
     Null and empty texts come back as they are. Occurrences rank by doc_id (null first), then a hash of the text, then place; rows
     equal in doc_id and text are one document, each gets its result. A text may lose all its units and is then empty."""
-    spans = Scratch(spark, "spans").save(repeated_spans(spark, docs, min_words), "spans")
+    spans = Scratch(spark, "spans").save(repeated_spans(spark, docs, min_words, line_words), "spans")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key())
     on = rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["text_key"] == spans["text_key"])
 

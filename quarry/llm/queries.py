@@ -35,7 +35,7 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return passages.remove_repeats(spark, table(spark, sf_dir, "documents"), line_words=passages.LINE_WORDS)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,6 +250,27 @@ def test_passages(spark):
     assert passages.remove_repeats(spark, frame(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_lines_and_paragraphs_go(spark):
+    rows = [
+        (1, "Rights are reserved here.\nOne. Two of three.\nfirst own line stays"), (2, "second own line stays\nRIGHTS are  reserved here.\nthe end of two"), (3, "One. Two of three.\nanother line of three\nOne. Two of four."),
+        (4, "a b\nc d\n\nown words of four"), (5, "own words of five\n\nA B\nc d\n\na b"), (6, "mixed: Rights are reserved here. inside a line stays"), (7, "Rights are reserved here."), (8, "one two\nsolo eight line"), (9, "one two\nsolo nine line"),
+    ]
+    kept = {2: "second own line stays\nthe end of two", 3: "another line of three\nOne. Two of four.", 5: "own words of five\na b", 7: ""}
+    got = {x.doc_id: x for x in op7_passages_of(spark, rows)}
+    assert {i: x.text for i, x in got.items()} == {i: kept.get(i, t) for i, t in rows}
+    assert {i: x.n_removed for i, x in got.items() if x.n_removed} == {i: 1 for i in kept}
+    assert all(x.text.split() == "".join(c for k, c in enumerate(dict(rows)[i]) if not any(s.start <= k < s.end for s in x.removed)).split() for i, x in got.items())
+
+
+def op7_passages_of(spark, rows):
+    from unittest.mock import patch
+
+    from quarry.llm import queries
+
+    with patch.object(queries, "table", lambda *_: frame(spark, rows)):
+        return queries.op7_passages(spark, "").collect()
+
+
 # ── personal data ────────────────────────────────────────────────────────────
 def test_surrogates(spark):
     rows = [
