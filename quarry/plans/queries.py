@@ -351,6 +351,11 @@ def fetch_order(spark, d):
     return spans.fetch_order(A.chunks(spark, d)).select("file", "est").limit(50)
 
 
+@query("fetch_order_all", f"WITH {K} SELECT file, est FROM k WHERE fin IS NULL")
+def fetch_order_all(spark, d):
+    return spans.fetch_order(A.chunks(spark, d)).select("file", "est")
+
+
 @query("short_chunks", f"WITH {K} SELECT file, est, n_rows AS rows FROM k WHERE n_rows < 0.7 * est AND est - n_rows >= 500")
 def short_chunks(spark, d):
     return spans.short_chunks(A.chunks(spark, d)).select("file", "est", "rows")

@@ -35,3 +35,14 @@ def test_query(spark, duck, name):
         assert sorted(plain([r[c] for c in cols]) for r in rows) == sorted(plain([r[i] for i in at]) for r in want.fetchall())
     else:
         assert df.columns
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the provided tables")
+def test_fetch_order_all_leaves_no_chunk_out(spark):
+    from quarry.plans import queries
+
+    d = DATA.replace("sf0.001", "sf0.01")
+    want = queries.A.chunks(spark, d).where("finished_at is null").select("est", "start", "file").collect()
+    rows = QUERIES["fetch_order_all"](spark, d).collect()
+    assert len(want) > 50
+    assert [(r.file, r.est) for r in rows] == [(r.file, r.est) for r in sorted(want, key=lambda r: (-r.est, r.start, r.file))]
