@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 PAD = b"\n\n\n"
-#: The sample that is learned from: so many documents of each language, those with the smallest hash of doc_id, none of them longer.
+#: The sample that is learned from: so many documents of each language, those with the smallest hash of doc_id. Longer ones only
+#: fill it up where a language has too few others, each with at most so many bytes from its first letter on.
 TRAIN_DOCS, TRAIN_BYTES = 300, 32768
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -32,11 +33,14 @@ def has_letter(text: str) -> bool:
 
 
 def training_rows(docs: DataFrame, per_language: int, max_bytes: int) -> DataFrame:
-    """lang, text of the sample. The choice runs over narrow rows and keeps per_language of each task before the shuffle."""
-    can = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= max_bytes))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = can.select("doc_id", "lang").withColumn("__rank", rank).where(F.col("__rank") <= per_language).select("doc_id", "lang").distinct()
-    return can.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    """lang, text of the sample; each language has one. The choice runs over narrow rows and keeps per_language of each task before
+    the shuffle."""
+    can = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    long = F.octet_length("text") > max_bytes
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))
+    chosen = can.select("doc_id", "lang", long.alias("long")).withColumn("__rank", rank).where(F.col("__rank") <= per_language).select("doc_id", "lang").distinct()
+    part = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max_bytes // 4 - 1}}}", 0)  # a character has four bytes at most
+    return can.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").select("lang", F.when(long, part).otherwise(F.col("text")).alias("text"))
 
 
 def count_grams(group: pd.DataFrame) -> pd.DataFrame:

@@ -150,6 +150,20 @@ def test_identify(spark):
     assert kept.columns == df.columns and kept.count() == 62
 
 
+def test_languages_with_long_documents_only_are_learned(spark):
+    rows = [(i, TRAIN[k][i % 2] * (2500 if k == "de" else 1), k) for i, k in enumerate(list(TRAIN) * 20)] + [(500, "1 " * 20_000 + "漢字" * 10_000, "zh"), (501, "die katze" * 4000 + "漢字" * 10_000, "zh")]
+    assert min(len(t.encode()) for _, t, k in rows if k in ("de", "zh")) > langid.TRAIN_BYTES
+    df = frame(spark, rows, "doc_id long, text string, lang string")
+    sample = langid.training_rows(df, 20, langid.TRAIN_BYTES).collect()
+    assert {x.lang for x in sample} == {*TRAIN, "zh"} and all(0 < len(x.text.encode()) <= langid.TRAIN_BYTES and langid.has_letter(x.text) for x in sample)
+    got = {x.doc_id: x.lang_pred for x in langid.identify(spark, df).collect()}
+    assert all(got[i] == k for i, _, k in rows if k == "de")
+    # longer ones only fill up
+    mixed = [(i, "short text" if i % 2 else "long text " * 4000, "en") for i in range(40)]
+    few = langid.training_rows(frame(spark, mixed, "doc_id long, text string, lang string"), 5, langid.TRAIN_BYTES).collect()
+    assert [x.text for x in few] == ["short text"] * 5
+
+
 # ── benchmark passages ───────────────────────────────────────────────────────
 def slow_tiles(a, b, least):
     free_a, free_b, out = [True] * len(a), [True] * len(b), []
