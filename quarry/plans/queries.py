@@ -705,11 +705,17 @@ def thread_state(spark, d):
 
 @query("nested_results")
 def nested_results(spark, d):
-    found = A.threads_posts(spark, d).where("pid % 2 = 0").select("id", F.lit("q").alias("query"))
+    postings = fulltext.build_postings(A.threads_posts(spark, d), "post", "id", ["selftext"])
+    found = fulltext.search_all(postings, "post", ["selftext"], {name: q for name, q, _ in SEARCHES}).withColumnRenamed("doc", "id")
+    return nested(spark, d, found, found)
+
+
+def nested(spark, d, found: DataFrame, text_hits: DataFrame) -> DataFrame:
     rows = hits.matched_posts(found, A.threads_posts(spark, d))
-    return hits.nested_results(rows, A.comments(spark, d), found.limit(0), A.comments(spark, d).where("score > 5"))
+    return hits.nested_results(rows, A.comments(spark, d), text_hits, A.comments(spark, d).where("score > 5"))
 
 
 @query("nested_results_flat", f"WITH {TP}, {C} SELECT tp.id, c.id AS comment_id, c.score > 5 AS hit FROM tp JOIN c ON c.post_id = tp.id WHERE tp.pid % 2 = 0")
 def nested_results_flat(spark, d):
-    return nested_results(spark, d).select("id", F.explode("comments").alias("c")).select("id", F.col("c.id").alias("comment_id"), "c.hit")
+    found = A.threads_posts(spark, d).where("pid % 2 = 0").select("id", F.lit("q").alias("query"))
+    return nested(spark, d, found, found.limit(0)).select("id", F.explode("comments").alias("c")).select("id", F.col("c.id").alias("comment_id"), "c.hit")

@@ -46,3 +46,19 @@ def test_fetch_order_all_leaves_no_chunk_out(spark):
     rows = QUERIES["fetch_order_all"](spark, d).collect()
     assert len(want) > 50
     assert [(r.file, r.est) for r in rows] == [(r.file, r.est) for r in sorted(want, key=lambda r: (-r.est, r.start, r.file))]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the provided tables")
+def test_nested_results_hold_all_hits_of_the_searches(spark):
+    import re
+
+    from quarry.plans import queries
+
+    want = {}
+    for r in queries.A.threads_posts(spark, DATA).select("id", "selftext").collect():
+        has = set(re.findall(r"[^\W_]+", (r.selftext or "").lower())).__contains__
+        by = [q for q, yes in (("q1", has("the") and has("of")), ("q2", has("and") and has("to") and has("in")), ("q3", has("der") or has("la")), ("q4", has("de") and not has("la"))) if yes]
+        want |= {r.id: by} if by else {}
+    rows = QUERIES["nested_results"](spark, DATA).collect()
+    assert {r.id: r.matched_by for r in rows} == want and any(int(i[1:]) % 2 for i in want)
+    assert all(r.text_match for r in rows)
