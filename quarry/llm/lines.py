@@ -1,27 +1,35 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its lower-cased words, told apart by 64-bit hashes. Equal sets are one class, ranked by its earliest line.
-Tokens are ordered by rarity: the words of all lines are counted in BUCKETS buckets by hash, and a token's order is its bucket's
-count (on a scale of quarters of an octave), then its hash. Any one order of all tokens gives the same matches; this one makes the
-lists short. Two sets of sizes n and m with a Jaccard similarity of at least 0.8 share a token among the first n - ceil(0.8 n) + 1
-of one and m - ceil(0.8 m) + 1 of the other in that order (prefix filter), their sizes differ by no more than that factor (length
-filter), and what follows their first shared tokens must hold enough (positional filter: by its place where one token is known,
-and by the number of shared prefix tokens where all are). What passes is bounded by two 64-bit maps of the sets, and at last verified on
-the sets themselves, built anew from the text.
+A line is the set of its lower-cased words, told apart by 64-bit hashes. Texts are split and hashed once, into a table of sorted sets;
+all that follows reads that. Equal sets are one class, ranked by its earliest line.
+
+Tokens are ordered by rarity: the tokens of all lines are counted in BUCKETS buckets by hash, and a token's order is its bucket's
+level (the count on a scale of quarters of an octave), then its hash. Any one order of all tokens gives the same matches; this one
+makes the lists short. Two sets of sizes n >= m with a Jaccard similarity of at least 0.8 share at least a = ceil(4/9 (n + m)) tokens, so
+they meet in the first m - ceil(8/9 m) + 1 of the smaller and the first n - a + 1 of the larger (prefix filter). The smaller one is
+posted under each such token with the band of its size; the larger one asks in the bands that it can match (length filter), each
+with the prefix that the band's sizes leave it. What stands before and behind a shared token bounds what two sets can share (positional
+filter), and so do two 64-bit words of a bit map of each set. What passes is verified on the sets themselves.
 
 A line is removed if an earlier one matches it. One match is enough, so a first round compares each class only with the first of
-each list and the one before it; that settles the members of large groups of near copies, and the second round compares
-the classes that are left with every earlier class of their lists. No pair is skipped: whatever is left is compared in full.
+a few lists and the one before it; that settles the members of large groups of near copies, and the second round compares
+the classes that are left with every earlier class that they can meet. No pair is skipped: whatever is left is compared in full.
+Lists of very common tokens are dealt in blocks, by their token's level, and the join runs in PASSES over parts of the keys, which
+bounds the disk that it takes at a time.
 """
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from .scratch import Scratch
 
 BUCKETS = 1 << 17
-BLANK = "\t\r\x0b\x0c"
+BLANKS = "\t\r\x0b\x0c"
+#: Lists of the first round: so many of each set's rarest tokens, and about so many rows a list before it is split.
+FIRST_TOKENS, FIRST_ROWS = 3, 1 << 17
+#: Bands grow by this factor; lists of about so many rows are dealt in blocks.
+BAND, BLOCK_ROWS = 1.5, 1 << 13
+PASSES = 4
+LOW56 = (1 << 56) - 1
 
 
 def own_id() -> Column:
@@ -29,48 +37,66 @@ def own_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """doc, text_key, pos, line."""
-    text = F.col("text").cast("string")
-    rows = docs.select(own_id().alias("doc"), text.alias("text")).where(F.length("text") > 0)
-    return rows.select("doc", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+def hashed_words(line: Column) -> Column:
+    """The sorted distinct hashes of the words of a plain() line."""
+    hashes = F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))))
+
+
+def plain(text: Column) -> Column:
+    """The text in lower case, with spaces for all blanks within lines."""
+    low = spaced = F.lower(text)
+    for blank in BLANKS:
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.when(text.rlike(f"[{BLANKS}]"), spaced).otherwise(low)
 
 
-def line_words(line: Column) -> Column:
-    return F.split(F.translate(F.lower(line), BLANK, " " * len(BLANK)), " ")
+def token_sets(docs: DataFrame) -> DataFrame:
+    """doc, text_key, pos, t of each line; t is empty for a line without words."""
+    text = F.col("text").cast("string")
+    rows = docs.where(text != "").select(own_id().alias("doc"), F.xxhash64(text).alias("text_key"), plain(text).alias("text"))
+    lines = rows.select("doc", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return lines.select("doc", "text_key", "pos", hashed_words(F.col("line")).alias("t"))
 
 
 def bucket(token: Column) -> Column:
-    return F.pmod(token, F.lit(BUCKETS))
+    return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def levels(sets: DataFrame) -> DataFrame:
+    """One row, one array of BUCKETS levels, each in the upper 8 bits of a number: 1 + 4 * log2(1 + the bucket's count). The counts are
+    of all tokens."""
+    counts = sets.select(F.explode("t").alias("tok")).groupBy(bucket(F.col("tok")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    every = sets.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    level = F.shiftleft(F.least(F.lit(127).cast("long"), 1 + F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0))))), 56)
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", level.alias("level")))), lambda x: x.level).alias("level"))
 
 
-def levels(lines: DataFrame) -> bytearray:
-    """One byte a bucket: 1 + 4 * log2(1 + the bucket's count). The counts are of all words; BUCKETS of them reach the driver."""
-    words = lines.select(F.explode(line_words(F.col("line"))).alias("w")).where("w <> ''")
-    out = bytearray(b"\x01" * BUCKETS)
-    for r in words.groupBy(bucket(F.xxhash64("w")).alias("b")).count().toLocalIterator():
-        out[r.b] = min(127, 1 + int(4 * math.log2(1 + r["count"])))
-    return out
+def by_rarity(level: Column) -> Column:
+    """The tokens of t, rarest first: the bucket's level in the upper 8 bits, the hash in the others."""
+    return F.sort_array(F.transform("t", lambda t: F.get(level, bucket(t)).bitwiseOR(t.bitwiseAND(F.lit(LOW56)))))
 
 
-def token_codes(line: Column, level: bytearray) -> Column:
-    """The distinct tokens of a line, rarest first: the bucket's level in the upper 8 bits, the hash in the others."""
-    hashes = F.array_distinct(F.transform(F.array_remove(line_words(line), ""), lambda w: F.xxhash64(w)))
-    table = F.split(F.lit(",".join(map(str, level))), ",").cast("array<bigint>")  # a constant: folded once, looked up by place
-    return F.sort_array(F.transform(hashes, lambda t: F.shiftleft(F.get(table, bucket(t).cast("int")), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))))
+def parts_of(token: Column, rows: int) -> Column:
+    """A power of two, 1 at least: in so many parts the list of a token of this level has about so many rows (a power of two) each."""
+    over = F.greatest(F.lit(0), F.shiftright(F.shiftright(token, 56).cast("int") + 2, 2) - rows.bit_length() + 1)
+    return F.call_function("shiftleft", F.lit(1), over)
 
 
-def bit_map(tokens: Column, shift: int) -> Column:
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, shift).bitwiseAND(F.lit(63)).cast("int"))))
+def bit_map(tokens: Column, negative: bool) -> Column:
+    """One half of a map of 128 bits: that of the hashes below 0, or of the others."""
+    sign = lambda t: F.shiftright(t, 63) if negative else F.bitwise_not(F.shiftright(t, 63))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(sign(t).bitwiseAND(bit(t))))
 
 
-def lacks(one: Column, other: Column) -> Column:
+def lacks(p: str, q: str) -> Column:
     """How many tokens of a set the other lacks at least: a bit of its map that the other's lacks is such a token."""
-    return F.bit_count(one.bitwiseAND(F.bitwise_not(other)))
+    return sum((F.bit_count(F.col(f"{p}{m}").bitwiseAND(F.bitwise_not(F.col(f"{q}{m}")))) for m in ("m1", "m2")), F.lit(0))
 
 
-def need(n: Column, num: int, den: int) -> Column:
-    """The smallest overlap of a set of size n with one that matches it: ceil(n * num / den)."""
+def ceil_of(n: Column, num: int, den: int) -> Column:
+    """ceil(n * num / den)"""
     return F.floor((n * num + (den - 1)) / den)
 
 
@@ -79,95 +105,128 @@ def enough(both: Column, n: Column, m: Column, num: int, den: int) -> Column:
     return both * (num + den) >= (n + m) * num
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, level: bytearray, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (x, y: digests a of classes) that match, as y_a, y_b."""
-    maps = classes.select("a", "b", "n", "m1", "m2")
-    both = pairs.join(maps.select(*(F.col(c).alias(f"x_{c}") for c in maps.columns)), F.col("x") == F.col("x_a")).join(maps.select(*(F.col(c).alias(f"y_{c}") for c in maps.columns)), F.col("y") == F.col("y_a"))
-    missing = lambda p, q: F.greatest(*(lacks(F.col(f"{p}_{m}"), F.col(f"{q}_{m}")) for m in ("m1", "m2")))
-    most = F.least(F.col("x_n") - missing("x", "y"), F.col("y_n") - missing("y", "x"))
-    left = scratch.save(both.where(enough(most, F.col("x_n"), F.col("y_n"), num, den)).select("x_a", "x_b", "y_a", "y_b"), f"{name}-left")
-    used = left.select(F.col("x_a").alias("a"), F.col("x_b").alias("b")).unionByName(left.select(F.col("y_a").alias("a"), F.col("y_b").alias("b"))).distinct()
-    place = classes.join(used, ["a", "b"]).select("a", "b", "rank.doc", "rank.pos")
-    place = scratch.save(place.groupBy("doc").agg(F.collect_list(F.struct("pos", "a", "b")).alias("at")), f"{name}-place")
-    rows = docs.select(own_id().alias("doc"), F.col("text").cast("string").alias("text")).join(place, "doc")
-    # Only the lines that are asked for leave the array of a text.
-    lines = rows.select(F.split("text", "\n", -1).alias("lines"), "at").select(F.explode(F.zip_with("at", F.transform("at", lambda x: F.get("lines", x.pos)), lambda x, line: F.struct(x.a.alias("a"), x.b.alias("b"), line.alias("line")))).alias("x"))
-    sets = lines.select("x.a", "x.b", token_codes(F.col("x.line"), level).alias("t")).where(F.xxhash64("t") == F.col("a"))
-    sets = scratch.save(sets.dropDuplicates(["a", "b"]), f"{name}-sets")
-    pair = left.join(sets.select(F.col("a").alias("x_a"), F.col("b").alias("x_b"), F.col("t").alias("x_t")), ["x_a", "x_b"]).join(sets.select(F.col("a").alias("y_a"), F.col("b").alias("y_b"), F.col("t").alias("y_t")), ["y_a", "y_b"])
-    good = pair.where(enough(F.size(F.array_intersect("x_t", "y_t")), F.size("x_t"), F.size("y_t"), num, den))
-    done = scratch.save(good.select("y_a", "y_b").distinct(), f"{name}-matched")
-    scratch.drop(f"{name}-left", f"{name}-place", f"{name}-sets")
+def band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("int")
+
+
+def size(p: str) -> Column:
+    return F.shiftright(F.col(f"{p}size_at"), 32)
+
+
+def place(p: str) -> Column:
+    return F.col(f"{p}size_at").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def could(p: str, q: str, num: int, den: int) -> Column:
+    """The length filter, the positional filter at a shared token, and the bound by the maps."""
+    n, m = size(p), size(q)
+    around = 1 + F.least(place(p), place(q)) + F.least(n - place(p) - 1, m - place(q) - 1)
+    shared = F.least(n - lacks(p, q), m - lacks(q, p))
+    return (n * den >= m * num) & (m * den >= n * num) & enough(F.least(around, shared), n, m, num, den)
+
+
+def postings(classes: DataFrame, tokens: Column, *cols) -> DataFrame:
+    """One narrow row for each of the tokens. size_at: the set's size in the upper half, the token's place in the lower."""
+    each = classes.select("a", "n", "m1", "m2", "doc", "pos", *cols, F.posexplode(tokens).alias("i", "tok"))
+    return each.select("tok", "a", "doc", "pos", "m1", "m2", *cols, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size_at"))
+
+
+def first_round(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a class and an earlier one: the first and the one before in the lists of its rarest tokens."""
+    posts = postings(classes, F.slice("prefix", 1, FIRST_TOKENS))
+    # Any part of a list will do here, so a long one is split.
+    part = F.pmod(F.xxhash64("doc", "pos"), parts_of(F.col("tok"), FIRST_ROWS))
+    in_list = Window.partitionBy("tok", "part").orderBy("doc", "pos")
+    me = F.struct("a", "doc", "pos", "m1", "m2", "size_at")
+    near = posts.withColumn("part", part).select("a", "doc", "pos", "m1", "m2", "size_at", F.first(me).over(in_list).alias("first"), F.lag(me, 1).over(in_list).alias("before"))
+    near = near.select("a", "doc", "pos", "m1", "m2", "size_at", F.explode(F.array_distinct(F.array("first", "before"))).alias("x"))
+    near = near.where((F.struct("x.doc", "x.pos") < F.struct("doc", "pos")) & could("", "x.", num, den))
+    return near.select(F.col("x.a").alias("x_a"), F.col("x.doc").alias("x_doc"), F.col("x.pos").alias("x_pos"), F.col("a").alias("y_a"), F.col("doc").alias("y_doc"), F.col("pos").alias("y_pos")).distinct()
+
+
+def second_round(flagged: DataFrame, num: int, den: int, part: int) -> DataFrame:
+    """Pairs of a class that isn't settled and an earlier one, by the shared tokens of one part of the keys. A place below 0 tells that
+    a class is settled."""
+    n, both = F.col("n"), num + den
+    posted = F.slice("prefix", F.lit(1), (n - ceil_of(n, 2 * num, both) + 1).cast("int"))
+    smaller = postings(flagged.withColumn("band", band(n)), posted, "band")
+    # The least size of a band: one less than it may be only makes the prefix longer.
+    least = F.greatest(ceil_of(n, num, den), F.floor(F.pow(F.lit(BAND), F.col("band"))))
+    asked = F.slice("prefix", F.lit(1), F.least(F.size("prefix"), (n - ceil_of(n + least, num, both) + 1).cast("int")))
+    larger = postings(flagged.select("*", F.explode(F.sequence(band(ceil_of(n, num, den)), band(n))).alias("band")), asked, "band")
+
+    def dealt(posts: DataFrame, mine: str, other: str) -> DataFrame:
+        posts = posts.where(F.pmod(F.shiftright("tok", 20), F.lit(PASSES)) == part)
+        blocks = parts_of(F.col("tok"), BLOCK_ROWS)
+        posts = posts.select("*", F.pmod(F.xxhash64("doc", "pos"), blocks).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), blocks - 1)).alias(other))
+        return posts.select(F.xxhash64("tok", "band", "one", "two").alias("key"), "a", "doc", "pos", "m1", "m2", "size_at")
+
+    p, q = dealt(smaller, "one", "two").alias("p"), dealt(larger, "two", "one").alias("q")
+    at = {s: F.greatest(F.col(f"{s}.pos"), -1 - F.col(f"{s}.pos")) for s in "pq"}
+    before = lambda s, t: (F.col(f"{s}.doc") < F.col(f"{t}.doc")) | ((F.col(f"{s}.doc") == F.col(f"{t}.doc")) & (at[s] < at[t]))
+    late = (before("p", "q") & (F.col("q.pos") >= 0)) | (before("q", "p") & (F.col("p.pos") >= 0))
+    # Of two equal sizes, each of which asks the other, one is taken.
+    once = (size("q.") > size("p.")) | ((size("q.") == size("p.")) & (F.col("q.a") > F.col("p.a")))
+    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & once & could("p.", "q.", num, den) & late)
+    end = lambda s, t, c: F.when(before("p", "q"), at[s] if c == "pos" else F.col(f"{s}.{c}")).otherwise(at[t] if c == "pos" else F.col(f"{t}.{c}"))
+    return pairs.select(*(end(s, t, c).alias(f"{name}_{c}") for name, s, t in (("x", "p", "q"), ("y", "q", "p")) for c in ("a", "doc", "pos"))).distinct()
+
+
+def verified(sets: DataFrame, pairs: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """a, b (the digests) of the later ones of the pairs that match."""
+    ends = [pairs.select(*(F.col(f"{p}_{c}").alias(c) for c in ("a", "doc", "pos"))) for p in "xy"]
+    used = scratch.save(ends[0].unionByName(ends[1]).distinct(), f"{name}-used")
+    found = sets.join(used, ["doc", "pos"]).where(F.xxhash64("t") == F.col("a")).select("a", "doc", "pos", digest_b().alias("b"), "t")
+    found = scratch.save(found.dropDuplicates(["a", "doc", "pos"]), f"{name}-sets")
+    side = lambda p: found.select(*(F.col(c).alias(f"{p}_{c}") for c in found.columns))
+    both = pairs.join(side("x"), ["x_a", "x_doc", "x_pos"]).join(side("y"), ["y_a", "y_doc", "y_pos"])
+    good = both.where(enough(F.size(F.array_intersect("x_t", "y_t")), F.size("x_t"), F.size("y_t"), num, den))
+    done = scratch.save(good.select(F.col("y_a").alias("a"), F.col("y_b").alias("b")).distinct(), f"{name}-matched")
+    scratch.drop(f"{name}-used", f"{name}-sets")
     return done
 
 
+def digest_b() -> Column:
+    return F.xxhash64(F.lit(7), "t")
+
+
 def later_matches(spark: SparkSession, docs: DataFrame, scratch: Scratch, num: int = 4, den: int = 5) -> DataFrame:
     """doc, text_key, gone (the places of the lines to remove) of the texts that lose a line."""
-    split = split_lines(docs)
-    level = levels(split)
-    codes = split.select("doc", "text_key", "pos", token_codes(F.col("line"), level).alias("t")).where(F.size("t") > 0)
+    sets = scratch.save(token_sets(docs), "sets", "orc", compression="zstd").where(F.size("t") > 0)
+    level = scratch.save(levels(sets), "levels")
     n = F.size("t")
-    full = codes.select(
-        "doc", "text_key", "pos", F.xxhash64("t").alias("a"), F.xxhash64(F.lit(7), "t").alias("b"), n.alias("n"),
-        F.slice("t", F.lit(1), (n - need(n, num, den) + 1).cast("int")).alias("prefix"), bit_map(F.col("t"), 0).alias("m1"), bit_map(F.col("t"), 6).alias("m2"),
+    # The levels are a subquery's value: they are in no plan, and the optimiser puts them in where they are used.
+    full = sets.select("*", level.scalar().alias("level")).select(
+        "doc", "text_key", "pos", F.xxhash64("t").alias("a"), digest_b().alias("b"), n.alias("n"),
+        F.slice(by_rarity(F.col("level")), F.lit(1), (n - ceil_of(n, num, den) + 1).cast("int")).alias("prefix"), bit_map(F.col("t"), True).alias("m1"), bit_map(F.col("t"), False).alias("m2"),
     )
     full = scratch.save(full, "full")
     here = F.struct("doc", "pos")
     classes = full.groupBy("a", "b").agg(F.min(here).alias("rank"), F.count(F.lit(1)).alias("lines"), *(F.first(c).alias(c) for c in ("n", "prefix", "m1", "m2")))
-    classes = scratch.save(classes, "classes")
-    rows = scratch.save(full.select("doc", "text_key", "pos", "a", "b"), "rows")
-    scratch.drop("full")
-
-    def postings(classes: DataFrame, pos: Column) -> DataFrame:
-        """One narrow row for each prefix token. size_at: the set's size in the upper half, the token's place in the lower."""
-        each = classes.select("a", "n", "m1", F.col("rank.doc").alias("doc"), pos.alias("pos"), F.posexplode("prefix").alias("i", "tok"))
-        return each.select("tok", "a", "doc", "pos", "m1", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size_at"))
-
-    def size(p: str) -> Column:
-        return F.shiftright(F.col(f"{p}size_at"), 32)
-
-    def could(p: str, q: str) -> Column:
-        """The length filter and the bound by one map, of two sides; the same for each token that they share."""
-        n1, n2 = size(p), size(q)
-        shared = F.least(n1 - lacks(F.col(f"{p}m1"), F.col(f"{q}m1")), n2 - lacks(F.col(f"{q}m1"), F.col(f"{p}m1")))
-        return (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & enough(shared, n1, n2, num, den)
-
-    def at_first(p: str, q: str) -> Column:
-        """The positional filter: after a first shared token, what follows it must hold enough."""
-        rest = F.least(size(p) - F.col(f"{p}size_at").bitwiseAND(F.lit(0xFFFFFFFF)), size(q) - F.col(f"{q}size_at").bitwiseAND(F.lit(0xFFFFFFFF)))
-        return enough(rest, size(p), size(q), num, den)
-
-    in_list = Window.partitionBy("tok").orderBy("doc", "pos")
-    me = F.struct("a", "size_at", "m1")
-    near = postings(classes, F.col("rank.pos")).select("a", "size_at", "m1", F.first(me).over(in_list).alias("first"), F.lag(me, 1).over(in_list).alias("before"))
-    near = near.select("a", "size_at", "m1", F.explode(F.array_distinct(F.array("first", "before"))).alias("x")).where("x is not null and x.a <> a")
-    first = near.where(could("", "x.") & at_first("", "x.")).select(F.col("x.a").alias("x"), F.col("a").alias("y")).distinct()
-    gone = verified(docs, classes, scratch.save(first, "first"), level, num, den, scratch, "round1")
-
-    # Both sides of the second round are one table, so one exchange serves both: that a class is settled is told by a place below 0,
-    # and asked in one expression with the other side, which can't be moved below the exchange.
-    settled = gone.select(F.col("y_a").alias("a"), F.col("y_b").alias("b"), F.lit(True).alias("settled"))
-    flagged = classes.select("a", "b", "n", "m1", "rank", "prefix").join(settled, ["a", "b"], "left")
-    flagged = scratch.save(flagged.withColumn("at", F.when(F.col("settled"), -1 - F.col("rank.pos")).otherwise(F.col("rank.pos"))).select("a", "n", "m1", "rank.doc", "at", "prefix"), "flagged")
-    slim = scratch.save(classes.drop("prefix"), "slim")
-    scratch.drop("first", "classes")
-    post = postings(flagged.withColumn("rank", F.struct("doc")), F.col("at"))
-    x, y = post.alias("x"), post.alias("y")
-    place = lambda p: F.greatest(F.col(f"{p}.pos"), -1 - F.col(f"{p}.pos"))
-    earlier = F.struct(F.col("x.doc"), place("x"), F.col("x.a")) < F.struct(F.when(F.col("y.pos") >= 0, F.col("y.doc")), place("y"), F.col("y.a"))
-    pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & earlier & could("x.", "y."))
-    pairs = pairs.groupBy(F.col("x.a").alias("x"), F.col("y.a").alias("y"), size("x.").alias("n1"), size("y.").alias("n2")).agg(F.count(F.lit(1)).alias("c"))
-    # What two sets share beyond the prefix that ends first stands behind that prefix: its size bounds what can still follow.
-    behind = F.greatest(*(need(F.col(n), num, den) - 1 for n in ("n1", "n2")))
-    pairs = scratch.save(pairs.where(enough(F.col("c") + behind, F.col("n1"), F.col("n2"), num, den)).select("x", "y"), "pairs")
-    scratch.drop("flagged")
-    classes = slim
-    more = verified(docs, classes, pairs, level, num, den, scratch, "round2")
-
-    state = classes.where("lines > 1").select("a", "b", "rank").join(gone.unionByName(more).distinct().select(F.col("y_a").alias("a"), F.col("y_b").alias("b"), F.lit(True).alias("late")), ["a", "b"], "full")
+    classes = scratch.save(classes.select("a", "b", "rank.doc", "rank.pos", "lines", "n", "prefix", "m1", "m2"), "classes")
+
+    first = scratch.save(first_round(classes, num, den), "first")
+    gone = verified(sets, first, num, den, scratch, "round1")
+    settled = gone.select("a", "b", F.lit(True).alias("settled"))
+    flagged = classes.select("a", "b", "n", "m1", "m2", "doc", "pos", "prefix").join(settled, ["a", "b"], "left")
+    flagged = flagged.withColumn("pos", F.when(F.col("settled"), -1 - F.col("pos")).otherwise(F.col("pos"))).drop("b", "settled")
+    flagged = scratch.save(flagged, "flagged")
+    scratch.drop("first")
+    parts = [scratch.save(second_round(flagged, num, den, k), f"pairs{k}") for k in range(PASSES)]
+    pairs = parts[0]
+    for part in parts[1:]:
+        pairs = pairs.unionByName(part)
+    pairs = scratch.save(pairs.distinct(), "pairs")
+    scratch.drop("flagged", *(f"pairs{k}" for k in range(PASSES)))
+    more = verified(sets, pairs, num, den, scratch, "round2")
+    scratch.drop("pairs", "sets", "levels")
+
+    # A line goes if its class has an earlier match, or if it isn't the class's earliest one.
+    late = gone.unionByName(more).distinct().withColumn("late", F.lit(True))
+    state = classes.where("lines > 1").select("a", "b", F.struct("doc", "pos").alias("rank")).join(late, ["a", "b"], "full")
     state = scratch.save(state, "state")
-    scratch.drop("pairs", "slim")
-    lost = rows.join(state, ["a", "b"]).where(F.coalesce("late", F.lit(False)) | (here != F.col("rank")))
+    scratch.drop("classes", "round1-matched", "round2-matched")
+    lost = full.select("doc", "text_key", "pos", "a", "b").join(state, ["a", "b"]).where(F.coalesce("late", F.lit(False)) | (here != F.col("rank")))
     return lost.groupBy("doc", "text_key").agg(F.collect_set("pos").alias("gone"))
 
 
@@ -179,7 +238,7 @@ def remove_later(spark: SparkSession, docs: DataFrame, num: int = 4, den: int =
     of each other, so rows equal in doc_id and text get equal results. Lines without words stay; null and empty texts come back as they are. A text that loses all its lines is empty."""
     scratch = Scratch(spark, "lines")
     gone = scratch.save(later_matches(spark, docs, scratch, num, den), "gone")
-    scratch.drop("rows", "state", "round1-matched", "round2-matched")
+    scratch.drop("full", "state")
     text = F.col("text").cast("string")
     lost = gone.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"))
     on = (own_id() == F.col("__doc")) & (F.xxhash64(text) == F.col("__key"))
@@ -196,6 +255,7 @@ def without_later_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def line_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_removed for each row."""
+    """doc_id, text, n_removed for each row. Null and empty texts come back as they are, with 0; repeated rows get equal results; an
+    empty table gives an empty one."""
     found = remove_later(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return found.withColumnRenamed("__n", "n_removed")

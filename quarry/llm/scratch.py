@@ -22,16 +22,16 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.path = spark, f"{shared_root(spark)}/quarry-{what}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, form: str = "parquet", **options: str) -> DataFrame:
         """Writes a table and reads it back. The shuffle files behind it go as soon as it is written: nothing runs df again."""
         conf, cleanup = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = conf.get(cleanup, "false")
         conf.set(cleanup, "true")
         try:
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+            df.write.mode("overwrite").format(form).options(**options).save(f"{self.path}/{name}")
         finally:
             conf.set(cleanup, before)
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).format(form).load(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
         for name in names:
