@@ -9,7 +9,7 @@ makes the lists short. Two sets of sizes n >= m with a Jaccard similarity of at
 they meet in the first m - ceil(8/9 m) + 1 of the smaller and the first n - a + 1 of the larger (prefix filter). The smaller one is
 posted under each such token with the band of its size; the larger one asks in the bands that it can match (length filter), each
 with the prefix that the band's sizes leave it. What stands before and behind a shared token bounds what two sets can share (positional
-filter), and so do two 64-bit words of a bit map of each set. What passes is verified on the sets themselves.
+filter), and so does a bit map of each set. What passes is verified on the sets themselves.
 
 A line is removed if an earlier one matches it. One match is enough, so a first round compares each class only with the first of
 a few lists and the one before it; that settles the members of large groups of near copies, and the second round compares
@@ -24,12 +24,15 @@ from .scratch import Scratch
 
 BUCKETS = 1 << 17
 BLANKS = "\t\r\x0b\x0c"
-#: Lists of the first round: so many of each set's rarest tokens, and about so many rows a list before it is split.
-FIRST_TOKENS, FIRST_ROWS = 3, 1 << 17
+#: Lists of the first round: so many of each set's rarest tokens, so many sets before it in a list, and about so many rows a list
+#: before it is split.
+FIRST_TOKENS, FIRST_BEFORE, FIRST_ROWS = 3, 3, 1 << 17
 #: Bands grow by this factor; lists of about so many rows are dealt in blocks.
 BAND, BLOCK_ROWS = 1.5, 1 << 13
 PASSES = 4
 LOW56 = (1 << 56) - 1
+#: Sets of so many tokens have a map of about half of them.
+LONG, MAPS = 144, ["m1", "m2"]
 
 
 def own_id() -> Column:
@@ -83,16 +86,21 @@ def parts_of(token: Column, rows: int) -> Column:
     return F.call_function("shiftleft", F.lit(1), over)
 
 
-def bit_map(tokens: Column, negative: bool) -> Column:
-    """One half of a map of 128 bits: that of the hashes below 0, or of the others."""
-    sign = lambda t: F.shiftright(t, 63) if negative else F.bitwise_not(F.shiftright(t, 63))
+def bit_maps(tokens: Column, n: Column) -> list[Column]:
+    """A map of 128 bits: of the hashes below 0, and of the others. Of a set of LONG tokens or more it holds only the hashes without
+    another bit set, so that it stays sparse enough."""
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(sign(t).bitwiseAND(bit(t))))
+    sign = [lambda t: bit(t).bitwiseAND(F.shiftright(t, 63)), lambda t: bit(t).bitwiseAND(F.bitwise_not(F.shiftright(t, 63)))]
+    half = lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)) - 1
+    of = lambda f: F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(f(t)))
+    return [F.when(n < LONG, of(f)).otherwise(of(lambda t, f=f: f(t).bitwiseAND(half(t)))).alias(m) for m, f in zip(MAPS, sign)]
 
 
 def lacks(p: str, q: str) -> Column:
-    """How many tokens of a set the other lacks at least: a bit of its map that the other's lacks is such a token."""
-    return sum((F.bit_count(F.col(f"{p}{m}").bitwiseAND(F.bitwise_not(F.col(f"{q}{m}")))) for m in ("m1", "m2")), F.lit(0))
+    """How many tokens of a set the other lacks at least: a bit of its map that the other's lacks is such a token, if the other's map
+    holds as many of the other's tokens."""
+    lacking = sum((F.bit_count(F.col(f"{p}{m}").bitwiseAND(F.bitwise_not(F.col(f"{q}{m}")))).cast("int") for m in MAPS), F.lit(0))
+    return F.when((size(p) < LONG) & (size(q) >= LONG), 0).otherwise(lacking)
 
 
 def ceil_of(n: Column, num: int, den: int) -> Column:
@@ -127,21 +135,23 @@ def could(p: str, q: str, num: int, den: int) -> Column:
 
 def postings(classes: DataFrame, tokens: Column, *cols) -> DataFrame:
     """One narrow row for each of the tokens. size_at: the set's size in the upper half, the token's place in the lower."""
-    each = classes.select("a", "n", "m1", "m2", "doc", "pos", *cols, F.posexplode(tokens).alias("i", "tok"))
-    return each.select("tok", "a", "doc", "pos", "m1", "m2", *cols, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size_at"))
+    each = classes.select("a", "n", *MAPS, "doc", "pos", *cols, F.posexplode(tokens).alias("i", "tok"))
+    return each.select("tok", "a", "doc", "pos", *MAPS, *cols, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size_at"))
 
 
 def first_round(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a class and an earlier one: the first and the one before in the lists of its rarest tokens."""
+    """For each class the likeliest earlier one, by the maps, of the first and the ones just before it in the lists of its rarest tokens."""
     posts = postings(classes, F.slice("prefix", 1, FIRST_TOKENS))
     # Any part of a list will do here, so a long one is split.
     part = F.pmod(F.xxhash64("doc", "pos"), parts_of(F.col("tok"), FIRST_ROWS))
     in_list = Window.partitionBy("tok", "part").orderBy("doc", "pos")
-    me = F.struct("a", "doc", "pos", "m1", "m2", "size_at")
-    near = posts.withColumn("part", part).select("a", "doc", "pos", "m1", "m2", "size_at", F.first(me).over(in_list).alias("first"), F.lag(me, 1).over(in_list).alias("before"))
-    near = near.select("a", "doc", "pos", "m1", "m2", "size_at", F.explode(F.array_distinct(F.array("first", "before"))).alias("x"))
+    cols = ["a", "doc", "pos", *MAPS, "size_at"]
+    me = F.struct(*cols)
+    near = posts.withColumn("part", part).select(*cols, F.first(me).over(in_list).alias("first"), *(F.lag(me, k).over(in_list).alias(f"x{k}") for k in range(1, FIRST_BEFORE + 1)))
+    near = near.select(*cols, F.explode(F.array("first", *(f"x{k}" for k in range(1, FIRST_BEFORE + 1)))).alias("x"))
     near = near.where((F.struct("x.doc", "x.pos") < F.struct("doc", "pos")) & could("", "x.", num, den))
-    return near.select(F.col("x.a").alias("x_a"), F.col("x.doc").alias("x_doc"), F.col("x.pos").alias("x_pos"), F.col("a").alias("y_a"), F.col("doc").alias("y_doc"), F.col("pos").alias("y_pos")).distinct()
+    best = near.groupBy("a", "doc", "pos").agg(F.min(F.struct(lacks("", "x.") + lacks("x.", ""), *(F.col(f"x.{c}").alias(c) for c in ("a", "doc", "pos")))).alias("x"))
+    return best.select(*(F.col(f"x.{c}").alias(f"x_{c}") for c in ("a", "doc", "pos")), *(F.col(c).alias(f"y_{c}") for c in ("a", "doc", "pos")))
 
 
 def second_round(flagged: DataFrame, num: int, den: int, part: int) -> DataFrame:
@@ -159,7 +169,7 @@ def second_round(flagged: DataFrame, num: int, den: int, part: int) -> DataFrame
         posts = posts.where(F.pmod(F.shiftright("tok", 20), F.lit(PASSES)) == part)
         blocks = parts_of(F.col("tok"), BLOCK_ROWS)
         posts = posts.select("*", F.pmod(F.xxhash64("doc", "pos"), blocks).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), blocks - 1)).alias(other))
-        return posts.select(F.xxhash64("tok", "band", "one", "two").alias("key"), "a", "doc", "pos", "m1", "m2", "size_at")
+        return posts.select(F.xxhash64("tok", "band", "one", "two").alias("key"), "a", "doc", "pos", *MAPS, "size_at")
 
     p, q = dealt(smaller, "one", "two").alias("p"), dealt(larger, "two", "one").alias("q")
     at = {s: F.greatest(F.col(f"{s}.pos"), -1 - F.col(f"{s}.pos")) for s in "pq"}
@@ -194,24 +204,24 @@ def later_matches(spark: SparkSession, docs: DataFrame, scratch: Scratch, num: i
     """doc, text_key, gone (the places of the lines to remove) of the texts that lose a line."""
     sets = scratch.save(token_sets(docs), "sets", "orc", compression="zstd").where(F.size("t") > 0)
     level = scratch.save(levels(sets), "levels")
-    n = F.size("t")
+    n, here = F.size("t"), F.struct("doc", "pos")
+    lines = sets.select("doc", "text_key", "pos", F.xxhash64("t").alias("a"), digest_b().alias("b"))
     # The levels are a subquery's value: they are in no plan, and the optimiser puts them in where they are used.
     full = sets.select("*", level.scalar().alias("level")).select(
-        "doc", "text_key", "pos", F.xxhash64("t").alias("a"), digest_b().alias("b"), n.alias("n"),
-        F.slice(by_rarity(F.col("level")), F.lit(1), (n - ceil_of(n, num, den) + 1).cast("int")).alias("prefix"), bit_map(F.col("t"), True).alias("m1"), bit_map(F.col("t"), False).alias("m2"),
+        F.xxhash64("t").alias("a"), digest_b().alias("b"), here.alias("rank"), n.alias("n"),
+        F.slice(by_rarity(F.col("level")), F.lit(1), (n - ceil_of(n, num, den) + 1).cast("int")).alias("prefix"), *bit_maps(F.col("t"), n),
     )
-    full = scratch.save(full, "full")
-    here = F.struct("doc", "pos")
-    classes = full.groupBy("a", "b").agg(F.min(here).alias("rank"), F.count(F.lit(1)).alias("lines"), *(F.first(c).alias(c) for c in ("n", "prefix", "m1", "m2")))
-    classes = scratch.save(classes.select("a", "b", "rank.doc", "rank.pos", "lines", "n", "prefix", "m1", "m2"), "classes")
+    classes = full.groupBy("a", "b").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("lines"), F.first(F.struct("n", "prefix", *MAPS)).alias("x"))
+    classes = scratch.save(classes.select("a", "b", "rank.doc", "rank.pos", "lines", "x.*"), "classes", "orc", compression="zstd")
 
     first = scratch.save(first_round(classes, num, den), "first")
     gone = verified(sets, first, num, den, scratch, "round1")
     settled = gone.select("a", "b", F.lit(True).alias("settled"))
-    flagged = classes.select("a", "b", "n", "m1", "m2", "doc", "pos", "prefix").join(settled, ["a", "b"], "left")
+    flagged = classes.select("a", "b", "n", *MAPS, "doc", "pos", "prefix").join(settled, ["a", "b"], "left")
     flagged = flagged.withColumn("pos", F.when(F.col("settled"), -1 - F.col("pos")).otherwise(F.col("pos"))).drop("b", "settled")
-    flagged = scratch.save(flagged, "flagged")
-    scratch.drop("first")
+    flagged = scratch.save(flagged, "flagged", "orc", compression="zstd")
+    several = scratch.save(classes.where("lines > 1").select("a", "b", here.alias("rank")), "several")
+    scratch.drop("first", "classes")
     parts = [scratch.save(second_round(flagged, num, den, k), f"pairs{k}") for k in range(PASSES)]
     pairs = parts[0]
     for part in parts[1:]:
@@ -219,14 +229,13 @@ def later_matches(spark: SparkSession, docs: DataFrame, scratch: Scratch, num: i
     pairs = scratch.save(pairs.distinct(), "pairs")
     scratch.drop("flagged", *(f"pairs{k}" for k in range(PASSES)))
     more = verified(sets, pairs, num, den, scratch, "round2")
-    scratch.drop("pairs", "sets", "levels")
+    scratch.drop("pairs", "levels")
 
     # A line goes if its class has an earlier match, or if it isn't the class's earliest one.
     late = gone.unionByName(more).distinct().withColumn("late", F.lit(True))
-    state = classes.where("lines > 1").select("a", "b", F.struct("doc", "pos").alias("rank")).join(late, ["a", "b"], "full")
-    state = scratch.save(state, "state")
-    scratch.drop("classes", "round1-matched", "round2-matched")
-    lost = full.select("doc", "text_key", "pos", "a", "b").join(state, ["a", "b"]).where(F.coalesce("late", F.lit(False)) | (here != F.col("rank")))
+    state = scratch.save(several.join(late, ["a", "b"], "full"), "state")
+    scratch.drop("several", "round1-matched", "round2-matched")
+    lost = lines.join(state, ["a", "b"]).where(F.coalesce("late", F.lit(False)) | (here != F.col("rank")))
     return lost.groupBy("doc", "text_key").agg(F.collect_set("pos").alias("gone"))
 
 
@@ -238,7 +247,7 @@ def remove_later(spark: SparkSession, docs: DataFrame, num: int = 4, den: int =
     of each other, so rows equal in doc_id and text get equal results. Lines without words stay; null and empty texts come back as they are. A text that loses all its lines is empty."""
     scratch = Scratch(spark, "lines")
     gone = scratch.save(later_matches(spark, docs, scratch, num, den), "gone")
-    scratch.drop("full", "state")
+    scratch.drop("sets", "state")
     text = F.col("text").cast("string")
     lost = gone.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"))
     on = (own_id() == F.col("__doc")) & (F.xxhash64(text) == F.col("__key"))
