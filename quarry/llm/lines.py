@@ -18,6 +18,8 @@ Lists of very common tokens are dealt in blocks, by their token's level, and the
 bounds the disk that it takes at a time.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from .scratch import Scratch
@@ -32,7 +34,7 @@ BAND, BLOCK_ROWS = 1.5, 1 << 13
 PASSES = 4
 LOW56 = (1 << 56) - 1
 #: Sets of so many tokens have a map of about half of them.
-LONG, MAPS = 144, ["m1", "m2"]
+LONG, MAPS = 112, ["m1", "m2"]
 
 
 def own_id() -> Column:
@@ -87,20 +89,22 @@ def parts_of(token: Column, rows: int) -> Column:
 
 
 def bit_maps(tokens: Column, n: Column) -> list[Column]:
-    """A map of 128 bits: of the hashes below 0, and of the others. Of a set of LONG tokens or more it holds only the hashes without
-    another bit set, so that it stays sparse enough."""
+    """A map of two times 64 bits: of the hashes that have another bit set, and of the others. Of a set of LONG tokens or more it holds
+    only the others, those below 0 and those above, so that it stays sparse enough."""
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-    sign = [lambda t: bit(t).bitwiseAND(F.shiftright(t, 63)), lambda t: bit(t).bitwiseAND(F.bitwise_not(F.shiftright(t, 63)))]
-    half = lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)) - 1
-    of = lambda f: F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(f(t)))
-    return [F.when(n < LONG, of(f)).otherwise(of(lambda t, f=f: f(t).bitwiseAND(half(t)))).alias(m) for m, f in zip(MAPS, sign)]
+    has, hasn_t = lambda t: F.negative(F.shiftright(t, 6).bitwiseAND(F.lit(1))), lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)) - 1
+    below, above = lambda t: F.shiftright(t, 63), lambda t: F.bitwise_not(F.shiftright(t, 63))
+    of = lambda *masks: F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(reduce(Column.bitwiseAND, (m(t) for m in masks), bit(t))))
+    return [F.when(n < LONG, of(hasn_t)).otherwise(of(hasn_t, below)).alias("m1"), F.when(n < LONG, of(has)).otherwise(of(hasn_t, above)).alias("m2")]
 
 
 def lacks(p: str, q: str) -> Column:
-    """How many tokens of a set the other lacks at least: a bit of its map that the other's lacks is such a token, if the other's map
-    holds as many of the other's tokens."""
-    lacking = sum((F.bit_count(F.col(f"{p}{m}").bitwiseAND(F.bitwise_not(F.col(f"{q}{m}")))).cast("int") for m in MAPS), F.lit(0))
-    return F.when((size(p) < LONG) & (size(q) >= LONG), 0).otherwise(lacking)
+    """How many tokens of a set the other lacks at least: a bit of its map that the other's lacks is such a token. Of a set that is long
+    and one that isn't only the part that both maps hold counts."""
+    lacking = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))).cast("int")
+    p1, p2, q1, q2 = (F.col(f"{s}{m}") for s in (p, q) for m in MAPS)
+    mixed = F.when(size(p) < LONG, lacking(p1, q1.bitwiseOR(q2))).otherwise(lacking(p1.bitwiseOR(p2), q1))
+    return F.when((size(p) < LONG) == (size(q) < LONG), lacking(p1, q1) + lacking(p2, q2)).otherwise(mixed)
 
 
 def ceil_of(n: Column, num: int, den: int) -> Column:
