@@ -11,8 +11,8 @@ posted under each such token with the band of its size; the larger one asks in t
 with the prefix that the band's sizes leave it. What stands before and behind a shared token bounds what two sets can share (positional
 filter), and so does a bit map of each set. What passes is verified on the sets themselves.
 
-A line is removed if an earlier one matches it. One match is enough, so a first round compares each class only with the first of
-a few lists and the one before it; that settles the members of large groups of near copies, and the second round compares
+A line is removed if an earlier one matches it. One match is enough, so a first round compares each class only with a few
+others of a few lists; that settles the members of large groups of near copies, and the second round compares
 the classes that are left with every earlier class that they can meet. No pair is skipped: whatever is left is compared in full.
 Lists of very common tokens are dealt in blocks, by their token's level, and the join runs in PASSES over parts of the keys, which
 bounds the disk that it takes at a time.
@@ -26,12 +26,12 @@ from .scratch import Scratch
 
 BUCKETS = 1 << 17
 BLANKS = "\t\r\x0b\x0c"
-#: Lists of the first round: so many of each set's rarest tokens, so many sets before it in a list, and about so many rows a list
-#: before it is split.
-FIRST_TOKENS, FIRST_BEFORE, FIRST_ROWS = 3, 3, 1 << 17
+#: The first round: so many of the last tokens of each prefix, so many sets before it in a list, and about so many rows a list before it
+#: is split. After each part of the second round so many pairs of each set are verified.
+FIRST_TOKENS, FIRST_BEFORE, FIRST_ROWS, LIKELIEST = 2, 3, 1 << 17, 8
 #: Bands grow by this factor; lists of about so many rows are dealt in blocks.
 BAND, BLOCK_ROWS = 1.5, 1 << 13
-PASSES = 4
+PASSES = 8
 LOW56 = (1 << 56) - 1
 #: Sets of so many tokens have a map of about half of them.
 LONG, MAPS = 112, ["m1", "m2"]
@@ -129,12 +129,18 @@ def place(p: str) -> Column:
     return F.col(f"{p}size_at").bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def alike(p: str, q: str, num: int, den: int) -> Column:
+    """The length filter and the bound by the maps."""
+    n, m = size(p), size(q)
+    shared = F.least(n - lacks(p, q), m - lacks(q, p))
+    return (n * den >= m * num) & (m * den >= n * num) & enough(shared, n, m, num, den)
+
+
 def could(p: str, q: str, num: int, den: int) -> Column:
-    """The length filter, the positional filter at a shared token, and the bound by the maps."""
+    """The positional filter at a shared token, and alike()."""
     n, m = size(p), size(q)
     around = 1 + F.least(place(p), place(q)) + F.least(n - place(p) - 1, m - place(q) - 1)
-    shared = F.least(n - lacks(p, q), m - lacks(q, p))
-    return (n * den >= m * num) & (m * den >= n * num) & enough(F.least(around, shared), n, m, num, den)
+    return enough(around, n, m, num, den) & alike(p, q, num, den)
 
 
 def postings(classes: DataFrame, tokens: Column, *cols) -> DataFrame:
@@ -144,16 +150,20 @@ def postings(classes: DataFrame, tokens: Column, *cols) -> DataFrame:
 
 
 def first_round(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """For each class the likeliest earlier one, by the maps, of the first and the ones just before it in the lists of its rarest tokens."""
-    posts = postings(classes, F.slice("prefix", 1, FIRST_TOKENS))
+    """For each class the likeliest earlier one, by the maps, of the first and the ones just before it in the lists of its rarest
+    token and of the last ones of its prefix, which near copies share."""
+    tokens = F.array_distinct(F.concat(F.slice("prefix", 1, 1), F.slice("prefix", F.greatest(F.size("prefix") - FIRST_TOKENS + 1, F.lit(1)), F.lit(FIRST_TOKENS))))
+    posts = postings(classes, F.when(F.size("prefix") <= FIRST_TOKENS, F.col("prefix")).otherwise(tokens))
     # Any part of a list will do here, so a long one is split.
     part = F.pmod(F.xxhash64("doc", "pos"), parts_of(F.col("tok"), FIRST_ROWS))
     in_list = Window.partitionBy("tok", "part").orderBy("doc", "pos")
     cols = ["a", "doc", "pos", *MAPS, "size_at"]
     me = F.struct(*cols)
-    near = posts.withColumn("part", part).select(*cols, F.first(me).over(in_list).alias("first"), *(F.lag(me, k).over(in_list).alias(f"x{k}") for k in range(1, FIRST_BEFORE + 1)))
-    near = near.select(*cols, F.explode(F.array("first", *(f"x{k}" for k in range(1, FIRST_BEFORE + 1)))).alias("x"))
-    near = near.where((F.struct("x.doc", "x.pos") < F.struct("doc", "pos")) & could("", "x.", num, den))
+    others = [F.first(me), *(F.lag(me, k) for k in range(1, FIRST_BEFORE + 1))]
+    near = posts.withColumn("part", part).select(*cols, *(x.over(in_list).alias(f"x{k}") for k, x in enumerate(others)))
+    near = near.select(*cols, F.explode(F.array(*(f"x{k}" for k in range(len(others))))).alias("x"))
+    # Places are those in these few tokens, so only sizes and maps tell.
+    near = near.where((F.struct("x.doc", "x.pos") < F.struct("doc", "pos")) & alike("", "x.", num, den))
     best = near.groupBy("a", "doc", "pos").agg(F.min(F.struct(lacks("", "x.") + lacks("x.", ""), *(F.col(f"x.{c}").alias(c) for c in ("a", "doc", "pos")))).alias("x"))
     return best.select(*(F.col(f"x.{c}").alias(f"x_{c}") for c in ("a", "doc", "pos")), *(F.col(c).alias(f"y_{c}") for c in ("a", "doc", "pos")))
 
@@ -183,7 +193,14 @@ def second_round(flagged: DataFrame, num: int, den: int, part: int) -> DataFrame
     once = (size("q.") > size("p.")) | ((size("q.") == size("p.")) & (F.col("q.a") > F.col("p.a")))
     pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & once & could("p.", "q.", num, den) & late)
     end = lambda s, t, c: F.when(before("p", "q"), at[s] if c == "pos" else F.col(f"{s}.{c}")).otherwise(at[t] if c == "pos" else F.col(f"{t}.{c}"))
-    return pairs.select(*(end(s, t, c).alias(f"{name}_{c}") for name, s, t in (("x", "p", "q"), ("y", "q", "p")) for c in ("a", "doc", "pos"))).distinct()
+    far = (lacks("p.", "q.") + lacks("q.", "p.")).alias("far")
+    return pairs.select(far, *(end(s, t, c).alias(f"{name}_{c}") for name, s, t in (("x", "p", "q"), ("y", "q", "p")) for c in ("a", "doc", "pos"))).distinct()
+
+
+def settle(flagged: DataFrame, gone: DataFrame) -> DataFrame:
+    """flagged, with a place below 0 also for the classes that are gone."""
+    settled = flagged.join(gone.withColumn("settled", F.lit(True)), ["a", "b"], "left")
+    return settled.withColumn("pos", F.when(F.col("settled") & (F.col("pos") >= 0), -1 - F.col("pos")).otherwise(F.col("pos"))).drop("settled")
 
 
 def verified(sets: DataFrame, pairs: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
@@ -220,25 +237,34 @@ def later_matches(spark: SparkSession, docs: DataFrame, scratch: Scratch, num: i
 
     first = scratch.save(first_round(classes, num, den), "first")
     gone = verified(sets, first, num, den, scratch, "round1")
-    settled = gone.select("a", "b", F.lit(True).alias("settled"))
-    flagged = classes.select("a", "b", "n", *MAPS, "doc", "pos", "prefix").join(settled, ["a", "b"], "left")
-    flagged = flagged.withColumn("pos", F.when(F.col("settled"), -1 - F.col("pos")).otherwise(F.col("pos"))).drop("b", "settled")
-    flagged = scratch.save(flagged, "flagged", "orc", compression="zstd")
+    flagged = classes.select("a", "b", "n", *MAPS, "doc", "pos", "prefix")
+    flagged = scratch.save(settle(flagged, gone), "flagged0", "orc", compression="zstd")
     several = scratch.save(classes.where("lines > 1").select("a", "b", here.alias("rank")), "several")
     scratch.drop("first", "classes")
-    parts = [scratch.save(second_round(flagged, num, den, k), f"pairs{k}") for k in range(PASSES)]
-    pairs = parts[0]
-    for part in parts[1:]:
-        pairs = pairs.unionByName(part)
-    pairs = scratch.save(pairs.distinct(), "pairs")
-    scratch.drop("flagged", *(f"pairs{k}" for k in range(PASSES)))
+    # Each part of the keys settles classes that have a match, so that the next parts ask for fewer pairs; what isn't settled by its
+    # likeliest pairs of any part is verified with all of them at last.
+    parts = []
+    of_y = Window.partitionBy("y_a", "y_doc", "y_pos").orderBy("far", "x_doc", "x_pos", "x_a")
+    for k in range(PASSES):
+        parts.append(scratch.save(second_round(flagged, num, den, k), f"pairs{k}"))
+        likely = scratch.save(parts[k].withColumn("k", F.row_number().over(of_y)).where(F.col("k") <= LIKELIEST).drop("k", "far"), "likely")
+        more = verified(sets, likely, num, den, scratch, f"likely{k}")
+        gone = gone.unionByName(more)
+        scratch.drop("likely")
+        if k + 1 < PASSES:
+            flagged = scratch.save(settle(flagged, more), f"flagged{k + 1}", "orc", compression="zstd")
+            scratch.drop(f"flagged{k}")
+    gone = scratch.save(gone.distinct(), "settled")
+    left = reduce(DataFrame.unionByName, parts).drop("far").distinct().join(gone.select(F.col("a").alias("y_a")), "y_a", "left_anti")
+    pairs = scratch.save(left.select("x_a", "x_doc", "x_pos", "y_a", "y_doc", "y_pos"), "pairs")
+    scratch.drop(f"flagged{PASSES - 1}", "round1-matched", *(f"{t}{k}" for k in range(PASSES) for t in ("pairs", "likely")), *(f"likely{k}-matched" for k in range(PASSES)))
     more = verified(sets, pairs, num, den, scratch, "round2")
     scratch.drop("pairs", "levels")
 
     # A line goes if its class has an earlier match, or if it isn't the class's earliest one.
     late = gone.unionByName(more).distinct().withColumn("late", F.lit(True))
     state = scratch.save(several.join(late, ["a", "b"], "full"), "state")
-    scratch.drop("several", "round1-matched", "round2-matched")
+    scratch.drop("several", "settled", "round2-matched")
     lost = lines.join(state, ["a", "b"]).where(F.coalesce("late", F.lit(False)) | (here != F.col("rank")))
     return lost.groupBy("doc", "text_key").agg(F.collect_set("pos").alias("gone"))
 
