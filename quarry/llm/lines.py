@@ -288,9 +288,13 @@ def remove_later(spark: SparkSession, docs: DataFrame, num: int = 4, den: int =
     return joined.select(*cols, F.coalesce(F.size("__gone"), F.lit(0)).alias("__n")).withColumn("__n", F.greatest("__n", F.lit(0)))
 
 
-def without_later_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """remove_later() with the columns of docs."""
-    return remove_later(spark, docs).drop("__n")
+def without_later_lines(spark: SparkSession, docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
+    """remove_later() with the columns of docs. Without keep_emptied the rows go that lose lines and have no word left; texts that had
+    none before stay, null and empty ones among them."""
+    found = remove_later(spark, docs)
+    if not keep_emptied:
+        found = found.where((F.col("__n") == 0) | F.col("text").rlike(f"[^ \n{BLANKS}]"))
+    return found.drop("__n")
 
 
 def line_report(spark: SparkSession, docs: DataFrame) -> DataFrame:

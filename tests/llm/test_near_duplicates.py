@@ -206,6 +206,8 @@ def test_lines_keep_columns(spark):
     got = lines.without_later_lines(spark, df)
     assert got.dtypes == df.dtypes
     assert sorted(map(tuple, got.collect())) == [(1, "a b c d\nx", 9, "l"), (2, "", 0, "m"), (2, "", 0, "m")]
+    kept = lines.without_later_lines(spark, df.unionByName(spark.createDataFrame([(3, None, 0, "n"), (4, "", 0, "e"), (5, " \n", 2, "b")], df.schema)), keep_emptied=False)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
