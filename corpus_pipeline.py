@@ -16,22 +16,25 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is known: those without a letter, or as near to two languages, go."""
+    """Documents in a language that is known: those without a letter (null and empty texts too), or as near to two languages, go.
+    Rows with the same doc_id are judged each; other columns stay as they are."""
     return langid.with_language(spark, docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier one go from the texts; documents stay."""
-    return lines.without_later_lines(spark, docs)
+    """Lines that match an earlier one go from the texts. Documents that keep no word of theirs go; others stay, also those that had
+    none before (null, empty)."""
+    return lines.without_later_lines(spark, docs, keep_emptied=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one with the smallest doc_id stays."""
+    """Of each group of near-duplicate documents the one with the smallest doc_id stays. Texts without words and rows without a doc_id
+    are in no group and stay."""
     return minhash.without_near_duplicates(spark, docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; null and empty texts hold none."""
     return decontam.without_benchmark(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
