@@ -31,7 +31,9 @@ BLANKS = "\t\r\x0b\x0c"
 FIRST_TOKENS, FIRST_BEFORE, FIRST_ROWS, LIKELIEST = 2, 3, 1 << 17, 8
 #: Bands grow by this factor; lists of about so many rows are dealt in blocks.
 BAND, BLOCK_ROWS = 1.5, 1 << 13
-PASSES = 8
+PASSES, SETTLE_AFTER = 8, (0, 1, 3)
+#: Tables of two or three numbers a row are broadcast up to so many rows.
+BROADCAST_ROWS = 1 << 18
 LOW56 = (1 << 56) - 1
 #: Sets of so many tokens have a map of about half of them.
 LONG, MAPS = 112, ["m1", "m2"]
@@ -197,9 +199,14 @@ def second_round(flagged: DataFrame, num: int, den: int, part: int) -> DataFrame
     return pairs.select(far, *(end(s, t, c).alias(f"{name}_{c}") for name, s, t in (("x", "p", "q"), ("y", "q", "p")) for c in ("a", "doc", "pos"))).distinct()
 
 
+def if_small(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if it has few rows; a larger one is joined by a shuffle."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
 def settle(flagged: DataFrame, gone: DataFrame) -> DataFrame:
     """flagged, with a place below 0 also for the classes that are gone."""
-    settled = flagged.join(gone.withColumn("settled", F.lit(True)), ["a", "b"], "left")
+    settled = flagged.join(if_small(gone).withColumn("settled", F.lit(True)), ["a", "b"], "left")
     return settled.withColumn("pos", F.when(F.col("settled") & (F.col("pos") >= 0), -1 - F.col("pos")).otherwise(F.col("pos"))).drop("settled")
 
 
@@ -207,7 +214,7 @@ def verified(sets: DataFrame, pairs: DataFrame, num: int, den: int, scratch: Scr
     """a, b (the digests) of the later ones of the pairs that match."""
     ends = [pairs.select(*(F.col(f"{p}_{c}").alias(c) for c in ("a", "doc", "pos"))) for p in "xy"]
     used = scratch.save(ends[0].unionByName(ends[1]).distinct(), f"{name}-used")
-    found = sets.join(used, ["doc", "pos"]).where(F.xxhash64("t") == F.col("a")).select("a", "doc", "pos", digest_b().alias("b"), "t")
+    found = sets.join(if_small(used), ["doc", "pos"]).where(F.xxhash64("t") == F.col("a")).select("a", "doc", "pos", digest_b().alias("b"), "t")
     found = scratch.save(found.dropDuplicates(["a", "doc", "pos"]), f"{name}-sets")
     side = lambda p: found.select(*(F.col(c).alias(f"{p}_{c}") for c in found.columns))
     both = pairs.join(side("x"), ["x_a", "x_doc", "x_pos"]).join(side("y"), ["y_a", "y_doc", "y_pos"])
@@ -241,23 +248,22 @@ def later_matches(spark: SparkSession, docs: DataFrame, scratch: Scratch, num: i
     flagged = scratch.save(settle(flagged, gone), "flagged0", "orc", compression="zstd")
     several = scratch.save(classes.where("lines > 1").select("a", "b", here.alias("rank")), "several")
     scratch.drop("first", "classes")
-    # Each part of the keys settles classes that have a match, so that the next parts ask for fewer pairs; what isn't settled by its
-    # likeliest pairs of any part is verified with all of them at last.
+    # The first parts of the keys settle most classes that have a match, so that the next ones ask for fewer pairs; what isn't settled by
+    # its likeliest pairs is verified with all of them at last.
     parts = []
     of_y = Window.partitionBy("y_a", "y_doc", "y_pos").orderBy("far", "x_doc", "x_pos", "x_a")
     for k in range(PASSES):
         parts.append(scratch.save(second_round(flagged, num, den, k), f"pairs{k}"))
-        likely = scratch.save(parts[k].withColumn("k", F.row_number().over(of_y)).where(F.col("k") <= LIKELIEST).drop("k", "far"), "likely")
-        more = verified(sets, likely, num, den, scratch, f"likely{k}")
-        gone = gone.unionByName(more)
-        scratch.drop("likely")
-        if k + 1 < PASSES:
+        if k in SETTLE_AFTER:
+            likely = scratch.save(parts[k].withColumn("k", F.row_number().over(of_y)).where(F.col("k") <= LIKELIEST).drop("k", "far"), f"likely{k}")
+            more = verified(sets, likely, num, den, scratch, f"likely{k}")
+            gone = gone.unionByName(more)
             flagged = scratch.save(settle(flagged, more), f"flagged{k + 1}", "orc", compression="zstd")
-            scratch.drop(f"flagged{k}")
+            scratch.drop("flagged0", *(f"flagged{i + 1}" for i in SETTLE_AFTER if i < k))
     gone = scratch.save(gone.distinct(), "settled")
     left = reduce(DataFrame.unionByName, parts).drop("far").distinct().join(gone.select(F.col("a").alias("y_a")), "y_a", "left_anti")
     pairs = scratch.save(left.select("x_a", "x_doc", "x_pos", "y_a", "y_doc", "y_pos"), "pairs")
-    scratch.drop(f"flagged{PASSES - 1}", "round1-matched", *(f"{t}{k}" for k in range(PASSES) for t in ("pairs", "likely")), *(f"likely{k}-matched" for k in range(PASSES)))
+    scratch.drop("round1-matched", *(f"pairs{k}" for k in range(PASSES)), *(f"{t}{k}{u}" for k in SETTLE_AFTER for t, u in (("flagged", ""), ("likely", ""), ("likely", "-matched"))), f"flagged{SETTLE_AFTER[-1] + 1}")
     more = verified(sets, pairs, num, den, scratch, "round2")
     scratch.drop("pairs", "levels")
 
