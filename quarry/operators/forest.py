@@ -8,6 +8,12 @@ SHORT_CHARS, SHORT_MAX_SCORE, MIN_SCORE = 40, 2, 0
 LEVELS, MARKED_FROM = 6, 6
 
 
+def unbounded_recursion(df: DataFrame):
+    """The session, in which a recursion may give more than Spark's default of 1,000,000 rows; levels stay bounded by max_depth."""
+    df.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return df.sparkSession
+
+
 def with_prunable(comments: DataFrame, post_asks: DataFrame, short_chars: int = SHORT_CHARS) -> DataFrame:
     """comments with prunable. post_asks: post_id, asks. A short comment that answers a question (its parent's, or its post's if it has
     none) is no noise; a counter-question is no answer; with a parent that is missing from the post it answers nothing."""
@@ -24,7 +30,7 @@ def prune(comments: DataFrame, post_asks: DataFrame, short_chars: int = SHORT_CH
     """What is left when prunable leaves go again and again: every comment that isn't prunable and all above it. A comment goes after its
     children, so the test never depends on the order, and one closure upwards gives the result."""
     marked = with_prunable(comments, post_asks, short_chars)
-    spark = comments.sparkSession
+    spark = unbounded_recursion(comments)
     view = f"__forest_{id(marked)}"
     marked.select("post_id", "id", "parent", "prunable").createOrReplaceTempView(view)
     kept = spark.sql(f"""
@@ -45,7 +51,7 @@ def surviving_posts(posts: DataFrame, kept_comments: DataFrame) -> DataFrame:
 def reading_order(comments: DataFrame, max_depth: int = 1000) -> DataFrame:
     """comments with root (of its thread), depth (0 for roots), place (in the reading order of the post, from 1): depth first, children by
     created and id. A comment without its parent in the post is a root."""
-    spark = comments.sparkSession
+    spark = unbounded_recursion(comments)
     known = comments.select("post_id", F.col("id").alias("parent"), F.lit(True).alias("__known"))
     rows = comments.join(known, ["post_id", "parent"], "left").withColumn("__up", F.when(F.col("__known"), F.col("parent")))
     rank = F.row_number().over(Window.partitionBy("post_id", "__up").orderBy("created", "id"))

@@ -41,7 +41,7 @@ def test_short_url(spark, url, short):
 
 
 def test_clean(spark):
-    cases = {" [a](http://x.com/1) ": "a [x.com]", "[](http://x.com/1)": "[x.com]", "[http://x.com/1](http://x.com/1)": "[x.com]", "[b c](https://github.com/q/r) and http://y.org.": "b c [github.com/q/r] and [y.org].", "plain": "plain", "": ""}
+    cases = {" [a](http://x.com/1) ": "a [x.com]", "[](http://x.com/1)": "[x.com]", "[http://x.com/1](http://x.com/1)": "[x.com]", "[b c](https://github.com/q/r) and http://y.org.": "b c [github.com/q/r] and [y.org.]", "plain": "plain", "": ""}
     assert column(spark, [*cases, None], text.clean) == [*cases.values(), ""]
 
 
