@@ -42,25 +42,42 @@ def test_retries():
             raise OSError("reset")
         return {"data": []}
 
-    gate = archive.Gate(clock=lambda: 1e9, sleep=lambda s: None)
-    gate.limited = lambda s: slept.append(s)
-    assert archive.get_with_retry(flaky, "p", {"limit": "auto"}, gate, slept.append) == {"data": []}
-    assert slept[:2] == [7, 7] and slept[2:] == [2, 4, 8] and calls[-1]["limit"] == archive.MIN_PAGE
+    limiter = archive.Limiter(clock=lambda: 1e9, sleep=lambda s: None)
+    limiter.limited = slept.append
+    assert archive.get_with_retry(flaky, "p", {"limit": "auto"}, limiter, slept.append) == {"data": []}
+    assert slept == [7, 2, 4, 8] and calls[-1]["limit"] == archive.MIN_PAGE
     with pytest.raises(archive.HttpError):
-        archive.get_with_retry(lambda *_: (_ for _ in ()).throw(archive.HttpError(404, "no")), "p", {}, archive.Gate(), slept.append)
-
-
-def test_gate_widens_and_halves():
-    g = archive.Gate(most=3)
-    for _ in range(5):
-        g.window_over()
-    assert g.width == 3
-    g.limited(0)
-    assert g.width == 1
-    g.window_over()
-    assert g.width == 1
-    g.window_over()
-    assert g.width == 2
+        archive.get_with_retry(lambda *_: (_ for _ in ()).throw(archive.HttpError(404, "no")), "p", {}, archive.Limiter(), slept.append)
+
+
+def test_limiter_widens_and_halves():
+    now = [0.0]
+    limiter = archive.Limiter(most=3, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    widths = []
+    for _ in range(7):
+        limiter.call(lambda: None)
+        widths.append(limiter.allowed)
+    assert widths == [2, 2, 3, 3, 3, 3, 3]
+    assert [limiter.try_begin() for _ in range(3)] == [0.0] * 3 and limiter.try_begin() > 0
+    limiter.limited(5)
+    limiter.limited(5)  # two calls that met the same limit
+    assert limiter.allowed == 1 and limiter.stopped_until == 5
+    limiter.running = 0
+    assert limiter.try_begin() == 5.0
+    limiter.call(lambda: None)
+    assert now[0] >= 5 and limiter.running == 0 and limiter.allowed == 2
+    now[0] += 1
+    limiter.allowed = 3
+    limiter.limited(1)
+    limiter.limited(1)
+    assert limiter.allowed == 1
+
+
+def test_a_failed_call_gives_its_place_back():
+    limiter = archive.Limiter(clock=lambda: 1.0)
+    with pytest.raises(OSError):
+        limiter.call(lambda: (_ for _ in ()).throw(OSError()))
+    assert limiter.running == 0 and limiter.well == 0
 
 
 def stub(path, params):
