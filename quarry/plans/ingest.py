@@ -39,11 +39,13 @@ def build(raw_posts: DataFrame, raw_comments: DataFrame, sub: str | None = None)
 
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
-    """Display numbers from 1 by time, without one task for all rows: counts of sorted partitions, then places within them."""
-    ordered = rows.repartitionByRange("created", "id").sortWithinPartitions("created", "id").withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
-    counts = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
-    return ordered.join(F.broadcast(before.drop("__n")), "__part").withColumn(name, F.col("__before") + F.col("__row") - F.col("__first") + 1).drop("__part", "__row", "__before", "__first")
+    """Display numbers from 1 by created and id (null ones first), without one task for all rows: the rows of the hours before, then the
+    place within the hour. Neither depends on how Spark deals the rows, so both passes over them agree."""
+    timed = rows.withColumn("__hour", F.coalesce(F.floor(F.col("created") / 3600).cast("long"), F.lit(-(2**62))))
+    earlier = Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)  # one row an hour
+    before = timed.groupBy("__hour").agg(F.count(F.lit(1)).alias("__n")).select("__hour", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__hour").orderBy("created", "id"))
+    return timed.withColumn("__place", place).join(before, "__hour").withColumn(name, F.col("__before") + F.col("__place")).drop("__hour", "__place", "__before")
 
 
 def write_tables(posts: DataFrame, comments: DataFrame, path: str) -> None:

@@ -163,3 +163,13 @@ def test_stream_keeps_the_newest(spark, tmp_path):
     write(tmp_path / "in" / "2.jsonl", [{"id": "a", "score": 5}, "{torn"])
     go()
     assert {r.id: r.score for r in stream.current(spark, str(tmp_path / "t"), "posts").collect()} == {"a": 5, "b": 1}
+
+
+def test_numbers_follow_time(spark):
+    rows = [(f"i{k}", None if k == 7 else (k * 7919) % 500 * 40) for k in range(600)]
+    df = spark.createDataFrame(rows, "id string, created long").repartition(5)
+    got = ingest.numbered(df, "pid")
+    assert got.columns == ["id", "created", "pid"]
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert [(r.id, r.created, r.pid) for r in got.orderBy("pid").collect()] == [(*r, k + 1) for k, r in enumerate(order)]
+    assert ingest.numbered(df.where("false"), "pid").count() == 0
