@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, langid, licenses, lines, minhash, passages, pieces, pii, warc
+from . import ann, conversations, decontam, fingerprints, langid, licenses, lines, minhash, passages, pieces, pii, warc
 from .scratch import table
 
 
@@ -50,7 +50,15 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_lines": op2_lines, "op3_ann": op3_ann, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op6_decontam": op6_decontam, "op7_passages": op7_passages, "op8_pii": op8_pii, "op9_pieces": op9_pieces, "op10_minhash": op10_minhash}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"), conversations.damage())
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_lines": op2_lines, "op3_ann": op3_ann, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op6_decontam": op6_decontam, "op7_passages": op7_passages, "op8_pii": op8_pii, "op9_pieces": op9_pieces, "op10_minhash": op10_minhash, "op11_fingerprints": op11_fingerprints, "op12_conversations": op12_conversations}
 
 ORACLE_SQL = {
     "op1_warc": """
@@ -95,4 +103,41 @@ c AS (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id,
        coalesce(c.m, d.doc_id) >= d.doc_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""",
+    "op12_conversations": r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role0, coalesce(text, ' ') AS text0, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+-- CRC-32, bit by bit over the bytes of the key
+f AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ord(c)::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 20 AS fault FROM raw),
+g AS (SELECT conv_id, turn, role0, text0, copy, CASE WHEN fault = 4 THEN 'user' ELSE role0 END AS role,
+        CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text0, '[.!?]', '', 'g') ELSE text0 END AS text
+      FROM f JOIN (VALUES (1), (2)) AS copies(copy) ON fault <> 0 AND (copy = 1 OR fault = 3)),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role0, text0, copy) AS i FROM g),
+u AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+        NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, substring(role, 1, 1) AS first, lag(substring(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM t),
+v AS (SELECT *, blank OR again AS go, CASE WHEN cut THEN 5 ELSE 0 END AS more FROM u),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+        count(*) FILTER (cut AND NOT go) AS truncated, count(*) FILTER (i > 1 AND before || first NOT IN ('su', 'ua', 'au')) AS illegal FROM v GROUP BY conv_id),
+-- cost, edits and repaired turns from turn i on: after nothing (z), a system (s), a user (x) and an assistant (y) turn
+dp AS (
+  SELECT conv_id, n + 1 AS i, {'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]} AS z, {'c': 10::BIGINT, 'a': 'II', 'o': ['user:', 'assistant:']} AS s,
+         {'c': 5::BIGINT, 'a': 'I', 'o': ['assistant:']} AS x, {'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]} AS y FROM n
+  UNION ALL
+  SELECT conv_id, i, list_min([z, {'c': x.c + 5, 'a': 'I' || x.a, 'o': list_prepend('user:', x.o)}]), list_min([s, {'c': x.c + 5, 'a': 'I' || x.a, 'o': list_prepend('user:', x.o)}]), x, y
+  FROM (
+    SELECT conv_id, i, z, s, list_min([x, {'c': y.c + 5, 'a': 'I' || y.a, 'o': list_prepend('assistant:', y.o)}]) AS x, list_min([y, {'c': x.c + 5, 'a': 'I' || x.a, 'o': list_prepend('user:', x.o)}]) AS y
+    FROM (
+      SELECT dp.conv_id, v.i,
+        list_min(list_filter([{'c': z.c + 2, 'a': 'D' || z.a, 'o': z.o}, CASE WHEN NOT go THEN {'c': x.c + 1 + more, 'a': 'R' || x.a, 'o': list_prepend('user:' || text, x.o)} END,
+          CASE WHEN NOT go AND first = 's' THEN {'c': s.c + more, 'a': 'K' || s.a, 'o': list_prepend(role || ':' || text, s.o)} WHEN NOT go AND first = 'u' THEN {'c': x.c + more, 'a': 'K' || x.a, 'o': list_prepend(role || ':' || text, x.o)} END], lambda w: w IS NOT NULL)) AS z,
+        list_min(list_filter([{'c': s.c + 2, 'a': 'D' || s.a, 'o': s.o}, CASE WHEN NOT go THEN {'c': x.c + 1 + more, 'a': 'R' || x.a, 'o': list_prepend('user:' || text, x.o)} END,
+          CASE WHEN NOT go AND first = 'u' THEN {'c': x.c + more, 'a': 'K' || x.a, 'o': list_prepend(role || ':' || text, x.o)} END], lambda w: w IS NOT NULL)) AS s,
+        list_min(list_filter([{'c': x.c + 2, 'a': 'D' || x.a, 'o': x.o}, CASE WHEN NOT go THEN {'c': y.c + 1 + more, 'a': 'R' || y.a, 'o': list_prepend('assistant:' || text, y.o)} END,
+          CASE WHEN NOT go AND first = 'a' THEN {'c': y.c + more, 'a': 'K' || y.a, 'o': list_prepend(role || ':' || text, y.o)} END], lambda w: w IS NOT NULL)) AS x,
+        list_min(list_filter([{'c': y.c + 2, 'a': 'D' || y.a, 'o': y.o}, CASE WHEN NOT go THEN {'c': x.c + 1 + more, 'a': 'R' || x.a, 'o': list_prepend('user:' || text, x.o)} END,
+          CASE WHEN NOT go AND first = 'u' THEN {'c': x.c + more, 'a': 'K' || x.a, 'o': list_prepend(role || ':' || text, x.o)} END], lambda w: w IS NOT NULL)) AS y
+      FROM dp JOIN v ON v.conv_id IS NOT DISTINCT FROM dp.conv_id AND v.i = dp.i - 1)))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(z.c, 0) AS cost, coalesce(z.a, '') AS audit, sha256(coalesce(array_to_string(z.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN dp ON dp.i = 1 AND dp.conv_id IS NOT DISTINCT FROM c.conv_id""",
 }
