@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import analysis, text
 from quarry.operators import forest, fulltext, hits, sampling, spans, verdicts
-from quarry.plans import readonly, scoring
+from quarry.plans import filtering, readonly, scoring
 from quarry.sources import adapter as A, chunks as chunk_source
 
 QUERIES: dict = {}
@@ -682,13 +682,54 @@ def same_author(spark, d):
 @query("decision_memo", f"WITH {P}, x AS (SELECT id, title AS state FROM p), k AS (SELECT DISTINCT state FROM x WHERE {h_sql('state')} % 2 = 0) SELECT id, floor({prob_sql('q one', 'x.state')} * 10000)::BIGINT AS q1, k.state IS NOT NULL AS known FROM x LEFT JOIN k USING (state)")
 def decision_memo(spark, d):
     states = A.posts(spark, d).select("id", F.col("title").alias("state"))
-    even = states.where(A.hashed(F.col("state")) % 2 == 0).select("state").distinct()
-    memo = even.select(scoring.memo_key("m", ["q one"], F.col("state")).alias("key"), scoring.hash_probabilities(["q one"], F.col("state")).alias("probs"))
-    keyed = states.withColumn("key", scoring.memo_key("m", ["q one"], F.col("state"))).join(memo, "key", "left")
-    hit = F.col("probs").isNotNull()
-    misses = keyed.where(~hit).select("key", "state").dropDuplicates(["key"]).select("key", scoring.hash_probabilities(["q one"], F.col("state")).alias("new"))
-    scored = keyed.join(misses, "key", "left").withColumn("p", F.coalesce("probs", "new"))
-    return scored.select("id", F.floor(F.element_at("p", 1) * 10000).cast("long").alias("q1"), hit.alias("known"))
+    answers = filtering.Answers(spark, scoring.HashScorer())
+    even = states.where(A.hashed(F.col("state")) % 2 == 0)
+    answers.ask(even, ["q one"])  # an earlier run
+    known = answers.keyed(states, ["q one"]).join(answers.work.save(answers.table()).select(F.col("key").alias("__key")), "__key", "left_semi").select("id", F.lit(True).alias("known"))
+    scored = answers.answered(states, ["q one"]).join(known, "id", "left")
+    return scored.select("id", F.floor(F.element_at("probs", 1) * 10000).cast("long").alias("q1"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
+KEEN = verdicts.Questions(q=("q one", "q two"), must="must", nots=("not one",), keep_at=0.93)
+FILTER = f"""{P}, fp AS (SELECT id, sub, link_flair AS flair, sub || chr(10) || title AS state FROM p),
+fq AS (SELECT *, CASE WHEN {h_sql("'f' || state")} % 200 = 0 THEN NULL ELSE [{', '.join(prob_sql(q, 'state') for q in KEEN.all)}] END AS pr FROM fp),
+fv AS (SELECT *, CASE WHEN pr IS NULL THEN NULL WHEN pr[4] >= 0.7 THEN 'not' WHEN pr[1] < 0.35 THEN 'must' END AS excluded, greatest(pr[2], pr[3]) AS vscore FROM fq),
+ft AS (SELECT 'd' || (conv_id * 8 + turn) % (SELECT count(*) FROM documents) AS post_id, 'c' || conv_id || '_' || turn AS root, text, length(text) AS chars, {h_sql("'h' || conv_id || '_' || turn")} % 3 = 0 AS has_hit FROM conversations),
+fs AS (SELECT ft.*, CASE WHEN pr IS NULL OR (excluded IS NULL AND vscore >= 0.93) THEN 'a' WHEN vscore >= 0.2 THEN 'b' WHEN has_hit THEN 'c' END AS st FROM ft JOIN fv ON fv.id = ft.post_id WHERE excluded IS NULL AND chars >= 25),
+fk AS (SELECT *, substring(text, 300 * (part - 1) + 1, 300) AS state FROM (SELECT *, unnest(range(1, (chars + 299) // 300 + 1)) AS part FROM fs WHERE st IS NOT NULL)),
+fl AS (SELECT *, CASE WHEN {h_sql("'f' || state")} % 200 = 0 THEN NULL ELSE [{', '.join(prob_sql(q, 'state') for q in KEEN.q)}] END AS pr FROM fk),
+fm AS (SELECT *, max(greatest(pr[1], pr[2])) OVER (PARTITION BY post_id, root ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM fl),
+fn AS (SELECT post_id, root, st, CASE WHEN bool_or(pr IS NULL) THEN NULL ELSE [max(pr[1]), max(pr[2])] END AS q FROM fm WHERE coalesce(before < 0.93, true) GROUP BY ALL),
+fo AS (SELECT post_id, count(*) AS nk, count(q) AS nr, max(q[1]) AS q1, max(q[2]) AS q2 FROM fn WHERE q IS NULL OR greatest(q[1], q[2]) >= 0.93 GROUP BY post_id),
+fi AS (SELECT fv.*, coalesce(nk, 0) AS nk, coalesce(nr, 0) AS nr, CASE WHEN pr IS NULL THEN 'unjudged' WHEN excluded IS NOT NULL THEN NULL WHEN vscore >= 0.93 THEN 'post' WHEN nr > 0 THEN 'thread' WHEN nk > 0 THEN 'unjudged' END AS included,
+  greatest(pr[2], q1) AS f1, greatest(pr[3], q2) AS f2, row_number() OVER (PARTITION BY sub, flair ORDER BY sha1(id), id) AS r, count(*) OVER (PARTITION BY sub, flair) AS n FROM fv LEFT JOIN fo ON fo.post_id = fv.id),
+fb AS (SELECT sub, flair FROM fi WHERE n > 8 AND r <= 7 GROUP BY ALL HAVING count(included) = 0),
+fj AS (SELECT fi.*, NOT (r > 7 AND n > 8 AND fb.flair IS NOT NULL) AS judged FROM fi LEFT JOIN fb ON fb.sub = fi.sub AND fb.flair = fi.flair)"""
+
+
+def keen_run(spark, d) -> filtering.Outcome:
+    """A filter run over documents as posts and turns as their threads, each in parts of 300 characters."""
+    posts = A.posts(spark, d).select("id", "sub", "link_flair", F.concat("sub", F.lit("\n"), "title").alias("state"))
+    n = A.table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n")).scalar()
+    key = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    threads = A.table(spark, d, "conversations").select(F.concat(F.lit("d"), ((F.col("conv_id") * 8 + F.col("turn")) % n).cast("string")).alias("post_id"), F.concat(F.lit("c"), key).alias("root"), F.length("text").alias("chars"), (A.hashed(F.concat(F.lit("h"), key)) % 3 == 0).alias("has_hit"), "text")
+    parts = threads.where("chars > 0").withColumn("part", F.explode(F.sequence(F.lit(1), F.ceil(F.col("chars") / 300).cast("int")))).withColumn("state", F.expr("substring(text, 300 * (part - 1) + 1, 300)")).drop("text")
+    return filtering.FilterRun(posts, parts, KEEN, filtering.Answers(spark, scoring.HashScorer(200))).run(min_posts=8, samples=(3, 4))
+
+
+@query("filter_run", f"WITH {FILTER} SELECT id, judged, CASE WHEN judged THEN included END AS included, CASE WHEN judged THEN nk END AS n_kept, CASE WHEN judged THEN nr END AS n_kept_real, CASE WHEN judged THEN floor(coalesce(greatest(f1, f2), -1) * 10000)::BIGINT END AS best FROM fj")
+def filter_run(spark, d):
+    return keen_run(spark, d).posts.select("id", "judged", "included", "n_kept", "n_kept_real", milli("facet_score").alias("best"))
+
+
+@query("filter_threads", f"WITH {FILTER} SELECT fn.post_id, root, st AS \"set\", floor(greatest(q[1], q[2]) * 10000)::BIGINT AS score, greatest(q[1], q[2]) >= 0.93 AS keep FROM fn JOIN fj ON fj.id = fn.post_id AND judged")
+def filter_threads(spark, d):
+    return keen_run(spark, d).threads.select("post_id", "root", "set", milli("verdict.score").alias("score"), "verdict.keep")
+
+
+@query("gate_skips", f"WITH {FILTER} SELECT id, sub, flair FROM fj WHERE NOT judged")
+def gate_skips(spark, d):
+    return keen_run(spark, d).skipped
 
 
 @query("post_state")

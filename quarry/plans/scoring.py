@@ -1,10 +1,10 @@
-"""Scoring with a probability model behind a memo of earlier decisions."""
+"""Probability models, and what they read of posts and threads."""
 
+import hashlib
 import json
 import urllib.request
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions import text
@@ -52,6 +52,20 @@ class HttpScorer:
         return None, False
 
 
+class HashScorer:
+    """A deterministic stand-in for a model: hash_probability() in Python. It fails on every so many states, if that is given."""
+
+    name = "stand-in"
+
+    def __init__(self, fails_every: int | None = None):
+        self.fails_every = fails_every
+
+    def score(self, state: str, questions: list[str]):
+        if self.fails_every and int(hashlib.sha1(f"f{state}".encode()).hexdigest()[:4], 16) % self.fails_every == 0:
+            return None, False
+        return [int(hashlib.sha1(f"{q}\x1f{state}".encode()).hexdigest()[:8], 16) / 4294967295.0 for q in questions], False
+
+
 def hash_probability(question: Column, state: Column) -> Column:
     """A deterministic stand-in for a model, in the JVM: the first 32 bits of a digest as a share of 2 ** 32."""
     return F.conv(F.substring(F.sha1(F.concat(question, F.chr(F.lit(31)), state)), 1, 8), 16, 10).cast("bigint") / F.lit(4294967295.0)
@@ -65,32 +79,6 @@ def memo_key(model: str, questions: list[str], state: Column) -> Column:
     return F.sha1(F.concat_ws(chr(31), F.lit(str(MEMO_VERSION)), F.lit(model), *(F.lit(q) for q in questions), state))
 
 
-def score_states(states: DataFrame, memo: DataFrame, questions: list[str], scorer, workers: int = 6) -> tuple[DataFrame, DataFrame]:
-    """states (..., state) with probs, and the new rows of the memo (key, probs). Equal states are scored once; failures and shortened
-    results aren't remembered. workers bounds the calls under way."""
-    keyed = states.withColumn("__key", memo_key(scorer.name, questions, F.col("state")))
-    known = memo.groupBy("key").agg(F.last("probs").alias("probs"))
-    misses = keyed.select("__key", "state").dropDuplicates(["__key"]).join(known, F.col("__key") == F.col("key"), "left_anti")
-
-    def run(batches):
-        for x in batches:
-            got = [scorer.score(s, questions) for s in x.state]
-            yield pd.DataFrame({"key": x["__key"], "probs": pd.Series([p for p, _ in got], dtype=object), "shortened": [s for _, s in got]})
-
-    # A reliable checkpoint: the model isn't asked again when a later stage runs twice or an executor is lost.
-    scored = misses.repartition(workers).mapInPandas(run, "key string, probs array<double>, shortened boolean")
-    scored = scored.checkpoint() if states.sparkSession.sparkContext.getCheckpointDir() else scored.persist()
-    every = known.select("key", "probs").unionByName(scored.select("key", "probs"))
-    return keyed.join(every, F.col("__key") == F.col("key"), "left").drop("__key", "key"), scored.where("probs is not null and not shortened").select("key", "probs")
-
-
-def check_failures(scored: DataFrame) -> None:
-    """Too many failures mean that the model is down: over 5 and over 2 %."""
-    r = scored.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("probs").isNull(), 1)).alias("failed")).first()
-    if r.failed > max(5, 0.02 * r.n):
-        raise RuntimeError(f"the model fails: {r.failed} of {r.n} calls")
-
-
 def fit_lines(lines: Column, room: Column, used) -> Column:
     """struct(lines, used): lines in order until one would pass the room."""
     start = F.struct(F.expr("cast(array() as array<string>)").alias("lines"), used.alias("used"), F.lit(False).alias("over"))

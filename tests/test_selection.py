@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from quarry.operators import hits, sampling, verdicts
-from quarry.plans import readonly, scoring
+from quarry.plans import readonly
 
 
 def in_turn(posts, n):
@@ -77,22 +77,6 @@ def test_parts_stop_at_the_first_that_is_enough(spark):
     assert {r.t: r.q for r in verdicts.combine_parts(df, ["t"], 0.5).collect()} == {"a": [0.6, 0.4], "b": None, "c": [0.2, 0.3]}
 
 
-class Counting:
-    name = "m"
-
-    def score(self, state, questions):
-        return (None, False) if state == "bad" else ([0.25] * len(questions), state == "long")
-
-
-def test_memo_is_used(spark):
-    states = spark.createDataFrame([(1, "x"), (2, "x"), (3, "bad"), (4, "long")], "i int, state string")
-    memo = spark.createDataFrame([], "key string, probs array<double>")
-    scored, new = scoring.score_states(states, memo, ["q"], Counting())
-    assert {r.i: r.probs for r in scored.collect()} == {1: [0.25], 2: [0.25], 3: None, 4: [0.25]} and new.count() == 1
-    scored, new = scoring.score_states(states.where("state = 'x'"), new, ["q"], Counting())
-    assert scored.count() == 2 and new.count() == 0
-
-
 def test_flair_exclusions(spark):
     posts = spark.createDataFrame([("1", "A", ":x: News"), ("2", "b", "NEWS"), ("3", "a", "Pics"), ("4", "a", None)], "id string, sub string, link_flair string")
     e = spark.createDataFrame([("news", "a")], "pattern string, sub string")
