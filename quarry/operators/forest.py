@@ -1,17 +1,57 @@
 """Comment forests: pruning, order of reading, rendering. comments: id, post_id, parent, author, score, created, body."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from quarry.functions import text
+from quarry.operators import ordered
+from quarry.stored import Stored
 
 SHORT_CHARS, SHORT_MAX_SCORE, MIN_SCORE = 40, 2, 0
 LEVELS, MARKED_FROM = 6, 6
 
 
-def unbounded_recursion(df: DataFrame):
-    """The session, in which a recursion may give more than Spark's default of 1,000,000 rows; levels stay bounded by max_depth."""
-    df.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return df.sparkSession
+def tour(comments: DataFrame, weights: dict[str, Column] | None = None) -> DataFrame:
+    """post_id, id, root, depth (0 for roots), place (in the reading order of the post, from 1) of each comment and, for each of weights, its
+    sum over the comment and all below it.
+
+    A walk around the forest of a post enters each comment, walks around its children by created and id, and leaves it. Each step
+    knows the next one; by pointer jumping each learns what lies from it to the end of the walk, in as many rounds as the length
+    of the longest walk has binary digits, however deep or wide the threads are. A step follows one other step only, so no join has
+    a hot key. A comment without its parent in the post is a root. Comments whose ancestors form a circle are in no thread and left
+    out; of rows with the same id the first by created and parent counts."""
+    work, weights = Stored(comments.sparkSession, "forest"), weights or {}
+    nodes = comments.select("post_id", "id", F.struct("created", "parent", *(c.cast("long").alias(w) for w, c in weights.items())).alias("__v"))
+    nodes = nodes.groupBy("post_id", "id").agg(F.min("__v").alias("__v")).select("post_id", "id", "__v.*")
+    known = nodes.select("post_id", F.col("id").alias("parent"), F.lit(True).alias("__known"))
+    nodes = nodes.join(known, ["post_id", "parent"], "left").withColumn("up", F.when(F.col("__known"), F.col("parent"))).drop("__known", "parent")
+    order = [F.col("post_id"), F.asc_nulls_first("up"), F.col("created"), F.col("id")]
+    nodes = work.save(ordered.with_next(nodes, order, ["post_id", "up", "id"], work))
+    first = nodes.where("up is not null").groupBy("post_id", F.col("up").alias("id")).agg(F.min(F.struct("created", F.col("id").alias("child"))).alias("__c")).select("post_id", "id", "__c.child")
+    sibling = F.when((F.col("next.post_id") == F.col("post_id")) & F.col("next.up").eqNullSafe(F.col("up")), F.col("next.id"))
+    own = {"__n": F.lit(1), "__roots": F.col("up").isNull().cast("long"), **{w: F.col(w) for w in weights}}
+    enter = F.struct(F.lit(False).alias("out"), F.coalesce("child", "id").alias("to"), F.col("child").isNull().alias("to_out"), F.lit(1).alias("__depth"), *(c.cast("long").alias(n) for n, c in own.items()))
+    leave = F.struct(F.lit(True).alias("out"), F.coalesce("__sibling", "up").alias("to"), F.col("__sibling").isNull().alias("to_out"), F.lit(-1).alias("__depth"), *(F.lit(0).cast("long").alias(n) for n in own))
+    steps = nodes.withColumn("__sibling", sibling).join(first, ["post_id", "id"], "left").select("post_id", "id", "up", F.explode(F.array(enter, leave)).alias("__s")).select("post_id", "id", "up", "__s.*")
+    counted, open_, k = ["__depth", *own], -1, 0
+    while True:
+        seen = Observation()
+        steps = work.save(steps.observe(seen, F.count("to").alias("open")), f"steps{k}")
+        if k:
+            work.drop(f"steps{k - 1}")
+        k += 1
+        if seen.get["open"] in (0, open_):  # none is left, or only circles are
+            break
+        open_ = seen.get["open"]
+        ahead = steps.select("post_id", F.col("id").alias("to"), F.col("out").alias("to_out"), F.col("to").alias("__to"), F.col("to_out").alias("__to_out"), *(F.col(c).alias(f"__a{c}") for c in counted))
+        steps = steps.join(ahead, ["post_id", "to", "to_out"], "left").select("post_id", "id", "up", "out", F.col("__to").alias("to"), F.col("__to_out").alias("to_out"), *((F.col(c) + F.coalesce(f"__a{c}", F.lit(0))).alias(c) for c in counted))
+    done = steps.where("to is null")
+    totals = done.groupBy("post_id").agg(F.max("__n").alias("__all"), F.max("__roots").alias("__all_roots"))
+    at_enter = lambda c: F.max(F.when(~F.col("out"), F.col(c)))
+    both = done.groupBy("post_id", "id").agg(*(at_enter(c).alias(c) for c in ("__n", "__roots", "__depth")), F.max("up").alias("up"), *((at_enter(w) - F.max(F.when(F.col("out"), F.col(w)))).alias(w) for w in weights))
+    thread = F.col("__all_roots") - F.col("__roots") - F.when(F.col("up").isNull(), 0).otherwise(1)
+    placed = work.save(both.join(totals, "post_id").select("post_id", "id", "up", (-F.col("__depth")).cast("int").alias("depth"), (F.col("__all") - F.col("__n") + 1).cast("int").alias("place"), thread.alias("__thread"), *weights))
+    roots = placed.where("up is null").select("post_id", "__thread", F.col("id").alias("root"))
+    return placed.join(roots, ["post_id", "__thread"]).select("post_id", "id", "root", "depth", "place", *weights)
 
 
 def with_prunable(comments: DataFrame, post_asks: DataFrame, short_chars: int = SHORT_CHARS) -> DataFrame:
@@ -26,19 +66,11 @@ def with_prunable(comments: DataFrame, post_asks: DataFrame, short_chars: int =
     return rows.withColumn("prunable", noise | short).select(*comments.columns, "prunable")
 
 
-def prune(comments: DataFrame, post_asks: DataFrame, short_chars: int = SHORT_CHARS, max_depth: int = 1000) -> DataFrame:
-    """What is left when prunable leaves go again and again: every comment that isn't prunable and all above it. A comment goes after its
-    children, so the test never depends on the order, and one closure upwards gives the result."""
+def prune(comments: DataFrame, post_asks: DataFrame, short_chars: int = SHORT_CHARS) -> DataFrame:
+    """What is left when prunable leaves go again and again: every comment that isn't prunable and all above it, which are those with such
+    a comment at or below them. Comments whose ancestors form a circle go."""
     marked = with_prunable(comments, post_asks, short_chars)
-    spark = unbounded_recursion(comments)
-    view = f"__forest_{id(marked)}"
-    marked.select("post_id", "id", "parent", "prunable").createOrReplaceTempView(view)
-    kept = spark.sql(f"""
-        WITH RECURSIVE up(post_id, id, parent) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT post_id, id, parent FROM {view} WHERE NOT prunable
-          UNION ALL
-          SELECT c.post_id, c.id, c.parent FROM up JOIN {view} c ON c.post_id = up.post_id AND c.id = up.parent WHERE c.prunable)
-        SELECT DISTINCT post_id, id FROM up""")
+    kept = tour(marked, {"n_lasting": (~F.col("prunable")).cast("long")}).where("n_lasting > 0").select("post_id", "id")
     return comments.join(kept, ["post_id", "id"], "left_semi")
 
 
@@ -48,23 +80,10 @@ def surviving_posts(posts: DataFrame, kept_comments: DataFrame) -> DataFrame:
     return posts.join(some, "id", "left").where((F.col("selftext") != "") | F.col("__some")).drop("__some")
 
 
-def reading_order(comments: DataFrame, max_depth: int = 1000) -> DataFrame:
+def reading_order(comments: DataFrame) -> DataFrame:
     """comments with root (of its thread), depth (0 for roots), place (in the reading order of the post, from 1): depth first, children by
     created and id. A comment without its parent in the post is a root."""
-    spark = unbounded_recursion(comments)
-    known = comments.select("post_id", F.col("id").alias("parent"), F.lit(True).alias("__known"))
-    rows = comments.join(known, ["post_id", "parent"], "left").withColumn("__up", F.when(F.col("__known"), F.col("parent")))
-    rank = F.row_number().over(Window.partitionBy("post_id", "__up").orderBy("created", "id"))
-    view = f"__order_{id(rows)}"
-    rows.select("post_id", "id", F.col("__up").alias("up"), rank.alias("rank")).createOrReplaceTempView(view)
-    paths = spark.sql(f"""
-        WITH RECURSIVE down(post_id, id, root, depth, path) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT post_id, id, id, 0, array(rank) FROM {view} WHERE up IS NULL
-          UNION ALL
-          SELECT c.post_id, c.id, d.root, d.depth + 1, concat(d.path, array(c.rank)) FROM down d JOIN {view} c ON c.post_id = d.post_id AND c.up = d.id)
-        SELECT * FROM down""")
-    place = F.row_number().over(Window.partitionBy("post_id").orderBy("path"))
-    return comments.join(paths.select("post_id", "id", "root", "depth", place.alias("place")), ["post_id", "id"]).select(*comments.columns, "root", "depth", "place")
+    return comments.join(tour(comments), ["post_id", "id"]).select(*comments.columns, "root", "depth", "place")
 
 
 def rendered(author: Column, score: Column, comment_id: Column, depth: Column, body: Column) -> Column:

@@ -36,3 +36,7 @@ class Stored:
             self.append(self.spark.createDataFrame([], schema), name)
             self.there.add(name)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, name: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from quarry.operators import forest
 
 SCHEMA = "id string, post_id string, parent string, author string, score long, created long, body string"
@@ -86,3 +88,40 @@ def test_survival(spark):
     posts = spark.createDataFrame([("a", "text"), ("b", ""), ("c", "")], "id string, selftext string")
     kept = spark.createDataFrame([("1", "b")], "id string, post_id string")
     assert {r.id for r in forest.surviving_posts(posts, kept).collect()} == {"a", "b"}
+
+
+def test_circles_end_and_are_in_no_thread(spark):
+    one = lambda i, parent: dict(id=i, post_id="p", parent=parent, author="a", score=5, created=1, body="x" * 50)
+    rows = [one("a", "c"), one("b", "a"), one("c", "b"), one("below", "a"), one("self", "self"), one("top", None), one("under", "top"), one("under", "top")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = forest.reading_order(df).collect()
+    assert sorted((r.id, r.root, r.depth, r.place) for r in got) == [("top", "top", 0, 1), ("under", "top", 1, 2), ("under", "top", 1, 2)]
+    assert {r.id for r in forest.prune(df, spark.createDataFrame([("p", False)], "post_id string, asks boolean")).collect()} == {"top", "under"}
+    assert forest.reading_order(df.limit(0)).count() == 0
+
+
+def test_deep_and_wide(spark):
+    deep = [dict(id=f"d{i:05}", post_id="deep", parent=f"d{i - 1:05}" if i else None, author="a", score=0, created=0, body="x" if i != 1500 else "y" * 50) for i in range(3000)]
+    wide = [dict(id=f"w{i:05}", post_id="wide", parent="w00000" if i else None, author="a", score=0, created=-i, body="lol" if i % 2 else "y" * 50) for i in range(3000)]
+    df = spark.createDataFrame(deep + wide, SCHEMA)
+    got = {r.id: (r.depth, r.place) for r in forest.reading_order(df).collect()}
+    assert all(got[f"d{i:05}"] == (i, i + 1) for i in range(3000))
+    assert got["w00000"] == (0, 1) and all(got[f"w{i:05}"] == (1, 3001 - i) for i in range(1, 3000))
+    kept = {r.id for r in forest.prune(df, spark.createDataFrame([("deep", False), ("wide", False)], "post_id string, asks boolean")).collect()}
+    assert kept == {f"d{i:05}" for i in range(1501)} | {f"w{i:05}" for i in range(0, 3000, 2)}
+
+
+def test_sums_over_subtrees(spark):
+    r = random.Random(8)
+    forests = [random_forest(r, f"p{k}") for k in range(20)]
+    df = spark.createDataFrame([c for cs in forests for c in cs], SCHEMA)
+    got = {x.id: (x.n, x.chars) for x in forest.tour(df, {"n": F.lit(1), "chars": F.length("body")}).collect()}
+    for cs in forests:
+        up, by_id = {c["id"]: c["parent"] for c in cs}, {c["id"]: c for c in cs}
+        below = {i: [] for i in by_id}
+        for i in by_id:
+            at = i
+            while at in by_id:
+                below[at].append(i)
+                at = up[at]
+        assert all(got[i] == (len(b), sum(len(by_id[x]["body"]) for x in b)) for i, b in below.items())
