@@ -1,6 +1,9 @@
 """Deterministic selections: fair shares over queries, strata, and what fits a budget."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from quarry.operators import ordered
+from quarry.stored import Stored
 
 
 def stable_order():
@@ -55,15 +58,22 @@ def round_robin(posts: DataFrame, n: int) -> DataFrame:
     return short.select("query", "size", "rank", "id", F.lit(1).alias("__all")).groupBy("__all").applyInPandas(deal, "id string, place long")
 
 
-def budget(entries: DataFrame, head: int, limit: int, keys: list[str] | None = None) -> DataFrame:
-    """entries (rank from 1, chars, line_chars, id_chars) with shown: entries in order, as long as what is used, the entry and the list of all that
-    follow stay within limit tokens of 4 characters; the first always is. Of those that follow, 100 are listed by line and 1,000
-    more by id."""
-    keys = keys or []
-    w = Window.partitionBy(*keys).orderBy("rank")
-    used = head + F.coalesce(F.sum(F.floor(F.col("chars") / 4)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    listed = F.coalesce(F.sum("line_chars").over(w.rowsBetween(1, 100)), F.lit(0)) + F.coalesce(F.sum("id_chars").over(w.rowsBetween(101, 1100)), F.lit(0))
-    over = (used + F.floor((F.col("chars") + listed) / 4) > limit) & (F.col("rank") > 1)
-    marked = entries.withColumn("__over", over)
-    cut = F.max(F.col("__over").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("shown", cut == 0).drop("__over")
+def budget(entries: DataFrame, order: list[Column], head: int, limit: int) -> DataFrame:
+    """entries (chars, line_chars, id_chars, ...) with rank (from 1, in an order that tells all entries apart) and shown: entries in order, as
+    long as what is used, the entry and the list of all that follow stay within limit tokens of 4 characters; the first always is. Of
+    those that follow, 100 are listed by line and 1,000 more by id.
+
+    Sums over all entries before come from ranges of the order; what is listed after an entry is the difference of two such sums, so that
+    it is looked up at the places where the lines and the ids end."""
+    work = Stored(entries.sparkSession, "budget")
+    rows = ordered.running(entries, order, {"__used": F.floor(F.col("chars") / 4), "__lines": F.col("line_chars"), "__ids": F.col("id_chars")}, work)
+    rows = work.save(rows.withColumnRenamed("place", "rank"))
+    total = lambda c: rows.agg(F.coalesce(F.sum(c), F.lit(0)).alias(c)).scalar()
+    at_line = rows.select((F.col("rank") - 101).alias("rank"), F.col("__lines").alias("__lines_to"), F.col("__ids").alias("__ids_from"))
+    at_id = rows.select((F.col("rank") - 1101).alias("rank"), F.col("__ids").alias("__ids_to"))
+    rows = rows.join(at_line, "rank", "left").join(at_id, "rank", "left").withColumn("__all_lines", total("line_chars")).withColumn("__all_ids", total("id_chars"))
+    lines = F.coalesce("__lines_to", "__all_lines") - F.col("__lines") - F.col("line_chars")
+    ids = F.coalesce("__ids_to", "__all_ids") - F.coalesce("__ids_from", "__all_ids")
+    over = head + F.col("__used") + F.floor((F.col("chars") + lines + ids) / 4) > limit
+    cut = rows.where(over & (F.col("rank") > 1)).agg(F.min("rank").alias("cut")).scalar()
+    return rows.select(*entries.columns, "rank", F.coalesce(F.col("rank") < cut, F.lit(True)).alias("shown"))

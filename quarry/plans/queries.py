@@ -520,10 +520,8 @@ def recall_estimate(spark, d):
 u AS (SELECT *, 500 + coalesce(sum(ch // 4) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, coalesce(sum(lc) OVER (ORDER BY rank ROWS BETWEEN 1 FOLLOWING AND 100 FOLLOWING), 0) + coalesce(sum(ic) OVER (ORDER BY rank ROWS BETWEEN 101 FOLLOWING AND 1100 FOLLOWING), 0) AS li FROM e)
 SELECT id, rank::INT AS rank, rank < coalesce((SELECT min(rank) FROM u WHERE rank > 1 AND used + (ch + li) // 4 > 20000), 1000000000) AS shown FROM u""")
 def budget_takewhile(spark, d):
-    # The kept posts of a report are a bounded frame: it is rendered on the driver.
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
-    rows = A.posts(spark, d).select("id", rank.alias("rank"), F.length("selftext").alias("chars"), F.length("title").alias("line_chars"), F.length("id").alias("id_chars"))
-    return sampling.budget(rows, 500, 20000).select("id", "rank", "shown")
+    rows = A.posts(spark, d).select("id", "score", F.length("selftext").alias("chars"), F.length("title").alias("line_chars"), F.length("id").alias("id_chars"))
+    return sampling.budget(rows, [F.desc("score"), F.col("id")], 500, 20000).select("id", F.col("rank").cast("int").alias("rank"), "shown")
 
 
 # ── model verdicts ───────────────────────────────────────────────────────────

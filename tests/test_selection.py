@@ -45,17 +45,22 @@ def test_stratified(spark):
 
 
 def test_budget(spark):
-    rows = [(i + 1, 400, 40, 4) for i in range(10)]
-    df = spark.createDataFrame(rows, "rank int, chars int, line_chars int, id_chars int")
-    shown = [r.shown for r in sampling.budget(df, 10, 350).orderBy("rank").collect()]
-    used, want = 10, []
-    for i in range(10):
-        if want and (not want[-1] or used + (400 + 40 * (9 - i)) // 4 > 350):
-            want.append(False)
+    r = random.Random(4)
+    sizes = [(i, r.randint(0, 900), r.randint(1, 60), r.randint(1, 9)) for i in range(1500)]
+    for entries, head, limit in ((sizes[:10], 10, 350), (sizes, 100, 30_000), (sizes, 100, 10), (sizes, 0, 10**9)):
+        df = spark.createDataFrame(entries, "i int, chars int, line_chars int, id_chars int").repartition(3)
+        shown = {x.rank: x.shown for x in sampling.budget(df, [F.desc("i")], head, limit).collect()}
+        used, rest = head, sorted(entries, reverse=True)
+        n = 0
+        for n, (_, chars, _, _) in enumerate(rest):
+            listed = sum(x[2] for x in rest[n + 1 : n + 101]) + sum(x[3] for x in rest[n + 101 : n + 1101])
+            if n and used + (chars + listed) // 4 > limit:
+                break
+            used += chars // 4
         else:
-            want.append(True)
-            used += 100
-    assert shown == want and shown[0]
+            n += 1
+        assert shown == {k + 1: k < n for k in range(len(entries))}
+    assert sampling.budget(df.limit(0), [F.col("i")], 1, 1).count() == 0
 
 
 def test_verdict_boundaries(spark):
