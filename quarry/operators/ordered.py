@@ -18,17 +18,17 @@ def in_parts(order: list[Column]):
     return Window.partitionBy("__part").orderBy(*order)
 
 
-def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], work: Stored | None = None) -> DataFrame:
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], work: Stored | None = None, place: str = "place") -> DataFrame:
     """rows with place (from 1) and, for each of sums, the sum over all rows before."""
     stored = ranged(rows, order, work or Stored(rows.sparkSession, "ordered"))
-    every = {"place": F.lit(1), **sums}
+    every = {place: F.lit(1), **sums}
     totals = stored.groupBy("__part").agg(*(F.sum(c).alias(f"__{name}") for name, c in every.items()))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     before = totals.select("__part", *(F.coalesce(F.sum(f"__{name}").over(earlier), F.lit(0)).alias(f"__{name}") for name in every))
     above = in_parts(order).rowsBetween(Window.unboundedPreceding, -1)
     here = stored.select("*", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(name) for name, c in every.items()))
     out = here.join(F.broadcast(before), "__part")
-    add = {name: F.col(name) + F.col(f"__{name}") + (1 if name == "place" else 0) for name in every}
+    add = {name: F.col(name) + F.col(f"__{name}") + (1 if name == place else 0) for name in every}
     return out.select(*rows.columns, *(c.alias(name) for name, c in add.items()))
 
 

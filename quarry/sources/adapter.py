@@ -25,8 +25,12 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comments_of(table(spark, sf_dir, "conversations"))
+
+
+def comments_of(conversations: DataFrame) -> DataFrame:
     """Conversations as comments from turn 1 on, each turn a child of the one at half its number."""
-    c = table(spark, sf_dir, "conversations").where("turn >= 1")
+    c = conversations.where("turn >= 1")
     post = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
     cid = F.concat_ws("_", post, F.col("turn").cast("string"))
     return c.select(
@@ -36,8 +40,12 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def threads_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads_posts_of(table(spark, sf_dir, "conversations"))
+
+
+def threads_posts_of(conversations: DataFrame) -> DataFrame:
     """The first turns, as the posts of those comments."""
-    c = table(spark, sf_dir, "conversations").where("turn = 0")
+    c = conversations.where("turn = 0")
     return c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), F.col("conv_id").alias("pid"), F.col("role").alias("author"), F.col("text").alias("selftext"), F.substring("text", 1, 40).alias("title"), F.col("role").alias("sub"), F.lit("").alias("link_flair"), F.lit("").alias("url"), (F.lit(EPOCH) + F.col("conv_id") * 3600).alias("created"), (hashed(F.col("text")) % 50).alias("score"))
 
 
