@@ -12,7 +12,7 @@ than n terms between the first and the last of them (10 if n is left out). A que
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.functions.analysis import ANALYSERS, QUERY_ANALYSERS
 
@@ -158,7 +158,13 @@ def build_postings(docs: DataFrame, kind: str, doc: str, cols: list[str], analys
 
 
 def write_postings(postings: DataFrame, path: str) -> None:
-    postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").partitionBy("kind").parquet(path)
+    """Postings in ranges of term and document, each sorted: a term is found by the bounds of row groups, and a very common one is spread
+    over as many files as it fills."""
+    postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc string, col string, term string, positions array<int>, kind string").parquet(path)
 
 
 def term_is(leaf: Leaf, phrase: list[str], i: int) -> Column:

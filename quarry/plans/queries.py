@@ -6,6 +6,7 @@ from quarry.functions import analysis, text
 from quarry.operators import forest, fulltext, hits, sampling, spans, verdicts
 from quarry.plans import filtering, readonly, scoring
 from quarry.sources import adapter as A, chunks as chunk_source
+from quarry.stored import Stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -163,6 +164,44 @@ def sql_surface(spark, d):
     return found.select("id", "score")
 
 
+def stored_index(spark, d) -> readonly.Index:
+    """The index of posts and of comments, written and read back."""
+    path = Stored(spark, "index").path
+    both = fulltext.build_postings(A.posts(spark, d), "post", "id", ["title", "selftext"]).unionByName(fulltext.build_postings(A.comments(spark, d), "comment", "id", ["body"]))
+    fulltext.write_postings(both, path)
+    return readonly.Index(fulltext.read_postings(spark, path), {"posts": ("post", ("title", "selftext")), "comments": ("comment", ("body",))})
+
+
+@query("sql_match", f"""WITH {P}, tt AS (SELECT *, {TERMS.format('title')} AS ti, {TERMS.format('selftext')} AS t FROM p),
+m AS (SELECT * FROM tt WHERE list_contains(t, 'the') AND list_contains(t, 'of') AND NOT contains(' ' || array_to_string(ti, ' ') || ' ', ' in the ') AND score > 20)
+SELECT sub, count(*) AS n, max(score) AS best, count(*) FILTER (contains(' ' || array_to_string(t, ' ') || ' ', ' to the ')) AS phrases FROM m GROUP BY sub""")
+def sql_match(spark, d):
+    A.posts(spark, d).createOrReplaceTempView("posts")
+    return readonly.select(spark, """
+        SELECT p.sub, count(*) AS n, max(p.score) AS best, count(x.id) AS phrases
+        FROM posts p JOIN fts_posts('selftext:the AND selftext:of') m ON m.id = p.id
+        LEFT JOIN fts_posts('selftext:"to the"') x ON x.id = p.id
+        WHERE p.score > 20 AND p.id NOT IN (SELECT id FROM fts_posts('title:"in the"'))
+        GROUP BY p.sub""", stored_index(spark, d))
+
+
+@query("sql_match_sides", f"""WITH {TP}, {C}, {P} SELECT p.pid FROM p WHERE p.pid IN (SELECT tp.pid FROM tp JOIN c ON c.post_id = tp.id WHERE list_contains({TERMS.format('c.body')}, 'the')) AND list_contains({TERMS.format('p.selftext')}, 'and')""")
+def sql_match_sides(spark, d):
+    """What no query of one document says: a title or text with one word, and a comment with another."""
+    posts = A.posts(spark, d)
+    posts.createOrReplaceTempView("posts")
+    A.comments(spark, d).createOrReplaceTempView("comments")
+    return readonly.select_posts(spark, """
+        SELECT p.pid FROM posts p JOIN fts_posts('selftext:and') m ON m.id = p.id
+        WHERE concat('c', p.pid) IN (SELECT c.post_id FROM comments c JOIN fts_comments('the') f ON f.id = c.id)""", posts, index=stored_index(spark, d))[0].select("pid")
+
+
+@query("fts_stored", f"WITH {P}, tt AS (SELECT id, {TERMS.format('selftext')} AS t FROM p) SELECT id FROM tt WHERE list_contains(t, 'the') AND len(list_filter(t, lambda x: starts_with(x, 'thin'))) > 0 OR list_contains(t, 'der') AND NOT contains(' ' || array_to_string(t, ' ') || ' ', ' in der ')")
+def fts_stored(spark, d):
+    index = stored_index(spark, d)
+    return index.search("posts", 'selftext:the selftext:thin* OR (selftext:der NOT selftext:"in der")')
+
+
 @query("sql_ignored_rows", f"WITH {P} SELECT count(*) AS ignored FROM (SELECT pid + 100000000 * (pid % 3) AS k FROM p) WHERE k NOT IN (SELECT pid FROM p)")
 def sql_ignored_rows(spark, d):
     posts = A.posts(spark, d)

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import fulltext
 from quarry.operators.fulltext import BadQuery, Leaf, Node, parse
+from quarry.plans import readonly
 
 DOCS = [("1", "Breeding geckos", "the eggs hatch in sand"), ("2", "breed", "sand in the eggs"), ("3", "bred", "an incubator for eggs"), ("4", "Incubation times", "hatch the eggs"), ("5", "eggs", "the gecko"), ("6", None, "")]
 
@@ -69,3 +71,35 @@ def test_stored_postings_push_the_terms_down(spark, postings, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(term,hat)" in plan and "EqualTo(term,eggs)" in plan
     assert {r.doc for r in df.collect()} == {"1", "2", "3", "4", "5"}
+
+
+def test_a_common_term_is_spread_over_files(spark, tmp_path):
+    docs = spark.range(20_000).selectExpr("concat('d', id) as id", "concat('the w', id % 50) as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        fulltext.write_postings(fulltext.build_postings(docs, "post", "id", ["text"]), str(tmp_path / "p"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = fulltext.read_postings(spark, str(tmp_path / "p")).where("term = 'the'").groupBy(F.input_file_name()).count().collect()
+    assert len(rows) >= 2 and sum(r["count"] for r in rows) == 20_000 and max(r["count"] for r in rows) < 15_000
+
+
+def test_searches_in_sql(spark, postings, tmp_path):
+    fulltext.write_postings(postings["porter"], str(tmp_path / "p"))
+    index = readonly.Index(fulltext.read_postings(spark, str(tmp_path / "p")), {"posts": ("post", ("title", "selftext"))}, "porter")
+    spark.createDataFrame(DOCS, "id string, title string, selftext string").createOrReplaceTempView("match_posts")
+    run = lambda sql: [tuple(r) for r in readonly.select(spark, sql, index).collect()]
+    before = {t.name for t in spark.catalog.listTables()}
+    assert sorted(run("SELECT p.id FROM match_posts p JOIN fts_posts('breeding OR \"eggs hatch\"') f ON f.id = p.id")) == [("1",), ("2",)]
+    assert sorted(run("WITH f AS (SELECT * FROM FTS_posts ( 'eggs' )) SELECT id FROM f WHERE id NOT IN (SELECT id FROM fts_posts('sand'))")) == [("3",), ("4",), ("5",)]
+    assert run("SELECT 'fts_posts(''x'')' AS a, \"fts_posts('y')\" AS b -- fts_posts('(')") == [("fts_posts('x')", "fts_posts('y')")]
+    df = readonly.select(spark, "SELECT count(*) FROM fts_posts('hatch* egg')", index)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,hatch)" in plan and "EqualTo(term,egg)" in plan
+    assert {t.name for t in spark.catalog.listTables()} == before
+    with pytest.raises(BadQuery):
+        run("SELECT * FROM fts_posts('(')")
+    for bad in ("SELECT * FROM fts_other('x')", "DROP VIEW match_posts", "SELECT nothing FROM fts_posts('egg')"):
+        with pytest.raises(readonly.NotReadOnly):
+            run(bad)
+    assert {t.name for t in spark.catalog.listTables()} == before
