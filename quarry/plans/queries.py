@@ -56,20 +56,15 @@ def post_postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def some_hits(spark: SparkSession, d: str) -> DataFrame:
-    """id, query for all searches, as one pass over the documents' terms: what a store of postings would answer query by query."""
-    rows = A.posts(spark, d).select("id", F.array_distinct(analysis.plain_terms(F.col("selftext"))).alias("t"))
-    has = lambda w: F.array_contains("t", w)
-    conds = {"q1": has("the") & has("of"), "q2": has("and") & has("to") & has("in"), "q3": has("der") | has("la"), "q4": has("de") & ~has("la")}
-    found = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in conds.items())), lambda x: x.isNotNull())
-    return rows.select("id", F.explode(found).alias("query"))
+    """id, query for all searches."""
+    return fulltext.search_all(post_postings(spark, d), "post", ["selftext"], {name: q for name, q, _ in SEARCHES}).withColumnRenamed("doc", "id")
 
 
 @query("flagship_search_ranked", f"""WITH {P}, {HITS_SQL}, m AS (SELECT id, string_agg(query, '|' ORDER BY query) AS matched, count(*) AS n FROM h GROUP BY id)
 SELECT p.id, p.sub, p.score, m.n::INT AS n, m.matched FROM m JOIN p ON p.id = m.id WHERE p.created >= 1704067200 + 6000""")
 def flagship(spark, d):
     posts = hits.post_filters(A.posts(spark, d), after=A.EPOCH + 6000)
-    found = fulltext.search_all(post_postings(spark, d), "post", ["selftext"], {name: q for name, q, _ in SEARCHES}).withColumnRenamed("doc", "id")
-    ranked = hits.matched_posts(found, posts.select("id", "sub", "score"))
+    ranked = hits.matched_posts(some_hits(spark, d), posts.select("id", "sub", "score"))
     return ranked.select("id", "sub", "score", "n", F.array_join("matched_by", "|").alias("matched"))
 
 
