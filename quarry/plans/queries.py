@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import analysis, text
 from quarry.operators import forest, fulltext, hits, sampling, spans, verdicts
-from quarry.plans import filtering, readonly, scoring
+from quarry.plans import filtering, readonly, report, scoring
 from quarry.sources import adapter as A, chunks as chunk_source
 from quarry.stored import Stored
 
@@ -741,7 +741,7 @@ fj AS (SELECT fi.*, NOT (r > 7 AND n > 8 AND fb.flair IS NOT NULL) AS judged FRO
 
 def keen_run(spark, d) -> filtering.Outcome:
     """A filter run over documents as posts and turns as their threads, each in parts of 300 characters."""
-    posts = A.posts(spark, d).select("id", "sub", "link_flair", F.concat("sub", F.lit("\n"), "title").alias("state"))
+    posts = A.posts(spark, d).withColumn("state", F.concat("sub", F.lit("\n"), "title"))
     n = A.table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n")).scalar()
     key = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     threads = A.table(spark, d, "conversations").select(F.concat(F.lit("d"), ((F.col("conv_id") * 8 + F.col("turn")) % n).cast("string")).alias("post_id"), F.concat(F.lit("c"), key).alias("root"), F.length("text").alias("chars"), (A.hashed(F.concat(F.lit("h"), key)) % 3 == 0).alias("has_hit"), "text")
@@ -764,6 +764,37 @@ def gate_skips(spark, d):
     return keen_run(spark, d).skipped
 
 
+@query("verdict_rows", f"""WITH {FILTER}, fg AS (SELECT post_id, count(*) AS n, string_agg(root || ' ' || st || ' ' || CASE WHEN q IS NULL THEN '?' WHEN greatest(q[1], q[2]) >= 0.93 THEN '+' ELSE '-' END, ',' ORDER BY root) AS threads FROM fn GROUP BY post_id)
+SELECT fj.id, p.pid, CASE WHEN judged THEN included END AS included, coalesce(judged AND included IN ('post', 'thread') AND nk = 0 AND length(p.selftext) < 300, false) AS lone, NOT judged AS flair_skipped,
+  CASE WHEN judged THEN floor(round(coalesce(greatest(f1, f2), -1), 4) * 1000 + 0.000001)::BIGINT ELSE -1000 END AS best, CASE WHEN judged THEN excluded END AS excluded, CASE WHEN judged THEN coalesce(fg.threads, '') ELSE '' END AS threads
+FROM fj JOIN p ON p.id = fj.id LEFT JOIN fg ON fg.post_id = fj.id""")
+def verdict_rows(spark, d):
+    rows = report.verdict_rows(keen_run(spark, d))
+    said = F.transform("threads", lambda t: F.concat_ws(" ", t.root, t.set, F.when(t.verdict.isNull(), "?").when(t.verdict.keep, "+").otherwise("-")))
+    return rows.select("id", "pid", "included", "lone", "flair_skipped", F.floor(F.col("score") * 1000 + 1e-6).alias("best"), "post.excluded", F.array_join(said, ",").alias("threads"))
+
+
+def keen_report(spark, d) -> report.Report:
+    outcome = keen_run(spark, d)
+    turns = A.table(spark, d, "conversations")
+    root = F.concat_ws("_", F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.col("turn").cast("string"))
+    texts = turns.select(root.alias("root"), F.col("turn").alias("place"), F.lit(1).alias("n_comments"), F.concat(F.lit("> "), F.replace("text", F.lit("\n"), F.lit("\n> "))).alias("text"))
+    return report.report(outcome, outcome.threads.select("post_id", "root").join(texts, "root"), some_hits(spark, d), KEEN, budget=20_000)
+
+
+@query("report_order", f"""WITH {FILTER}, fr AS (SELECT p.id, fj.nk, greatest(f1, f2) AS best, p.score FROM fj JOIN p ON p.id = fj.id WHERE judged AND included IN ('post', 'thread') AND NOT (nk = 0 AND length(p.selftext) < 300))
+SELECT id, row_number() OVER (ORDER BY best DESC, score DESC, id)::BIGINT AS rank FROM fr""")
+def report_order(spark, d):
+    return keen_report(spark, d).entries.select("id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("report_lines")
+def report_lines(spark, d):
+    """The report itself, line by line."""
+    lines = keen_report(spark, d).lines()
+    return spark.createDataFrame(list(enumerate(lines, 1)), "n int, line string")
+
+
 @query("post_state")
 def post_state(spark, d):
     tops = A.comments(spark, d).where("parent is null").groupBy(F.col("post_id").alias("id")).agg(F.collect_list(F.struct("score", "body")).alias("tops"))

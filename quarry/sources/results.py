@@ -1,6 +1,7 @@
 """Nested results and the outputs of a filter run."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 KEPT = "id string, pid long, score double, strong boolean, queries array<string>"
 
@@ -14,21 +15,19 @@ def read_results(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_kept(spark: SparkSession, path: str) -> DataFrame:
-    """The kept posts of an earlier run; none where there was no run."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(KEPT).json(path) if there else spark.createDataFrame([], KEPT)
-
-
-def write_kept(kept: DataFrame, path: str) -> None:
-    """Writes the kept posts; what stood there is moved to <path>.prev first."""
-    spark = kept.sparkSession
-    new = f"{path}.new"
-    kept.write.mode("overwrite").json(new)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    store = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if store.exists(hadoop(path)):
-        store.delete(hadoop(f"{path}.prev"), True)
-        store.rename(hadoop(path), hadoop(f"{path}.prev"))
-    store.rename(hadoop(new), hadoop(path))
+def write_run(rows: DataFrame, path: str, run: int) -> None:
+    """The verdicts or the kept posts of one run, in a folder of that run. Other runs stay as they are, so a run that fails while it writes
+    takes nothing away; one that is done again replaces its own rows."""
+    rows.write.mode("overwrite").json(f"{path}/run={run}")
+
+
+def read_run(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
+    """The rows of the latest run (before one, if that is given); none where there was no run."""
+    try:
+        rows = spark.read.schema(schema).json(path).withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"/run=(\d+)/", 1).cast("int"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    rows = rows if before is None else rows.where(F.col("run") < before)
+    return rows.where(F.col("run") == rows.agg(F.max("run")).scalar()).drop("run")

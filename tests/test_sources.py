@@ -143,12 +143,19 @@ def test_import_and_resume(spark, tmp_path):
     assert chunks.newest_file(files, "x", "posts").first().path == "/d/r_x_posts (2).jsonl"
 
 
-def test_kept_history(spark, tmp_path):
+def test_runs_beside_each_other(spark, tmp_path):
     path = str(tmp_path / "kept")
-    assert results.read_kept(spark, path).count() == 0
-    for i in ("1", "2"):
-        results.write_kept(spark.createDataFrame([(i, 1, 0.5, True, ["q"])], results.KEPT), path)
-    assert results.read_kept(spark, path).first().id == "2" and results.read_kept(spark, path + ".prev").first().id == "1"
+    read = lambda before=None: [(r.id, r.queries) for r in results.read_run(spark, path, results.KEPT, before).collect()]
+    assert read() == []
+    for run in (1, 2):
+        results.write_run(spark.createDataFrame([(str(run), 1, 0.5, True, ["q"])], results.KEPT), path, run)
+    assert read() == [("2", ["q"])] and read(2) == [("1", ["q"])] and read(1) == []
+    broken = spark.createDataFrame([("3", 1, 0.5, True, ["q"])], results.KEPT).where(F.assert_true(F.lit(False), F.lit("broken")).isNotNull())
+    with pytest.raises(Exception, match="broken"):
+        results.write_run(broken, path, 3)
+    assert read() == [("2", ["q"])]
+    results.write_run(spark.createDataFrame([], results.KEPT), path, 2)
+    assert read() == [("1", ["q"])]
 
 
 def test_stream_keeps_the_newest(spark, tmp_path):
