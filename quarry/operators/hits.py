@@ -127,3 +127,16 @@ def find_post(posts: DataFrame, ref: str) -> DataFrame:
 def missed(matching: DataFrame, hits: DataFrame) -> DataFrame:
     """The recall audit: id of the posts that match a query but that no search found, in the order of the hash of their id."""
     return matching.select("id").distinct().join(hits.select("id").distinct(), "id", "left_anti").orderBy(F.sha1("id"), "id")
+
+
+def missed_on_both_sides(found_posts: DataFrame, found_comments: DataFrame, hits: DataFrame) -> DataFrame:
+    """id, text_match, n_comments of the posts that a query matches, themselves or by a comment (two_sided()), but that no search found."""
+    own = found_posts.select("id", F.lit(1).alias("own"), F.lit(0).alias("via"))
+    via = found_comments.select(F.col("post_id").alias("id"), F.lit(0).alias("own"), F.lit(1).alias("via"))
+    both = own.unionByName(via).groupBy("id").agg((F.max("own") > 0).alias("text_match"), F.sum("via").alias("n_comments"))
+    return both.join(hits.select("id").distinct(), "id", "left_anti")
+
+
+def reset(*tables: DataFrame) -> list[DataFrame]:
+    """Hits and exclusions for a new question: the same tables without rows."""
+    return [t.limit(0) for t in tables]

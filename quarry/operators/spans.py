@@ -113,3 +113,27 @@ def short_chunks(chunks: DataFrame) -> DataFrame:
 def fetch_order(chunks: DataFrame) -> DataFrame:
     """The chunks that aren't finished, largest first."""
     return chunks.where("finished_at is null").orderBy(F.desc("est"), "start", "file")
+
+
+def totals(chunks: DataFrame, after: int, before: int, keys: list[str]) -> DataFrame:
+    """keys, cached (rows of the finished chunks that overlap the window), chunks (those that aren't finished) and est (items in them)."""
+    here = chunks.where((F.col("start") < before) & (F.col("end") > after))
+    done = F.col("finished_at").isNotNull()
+    return here.groupBy(*keys).agg(F.coalesce(F.sum(F.when(done, F.col("rows"))), F.lit(0)).alias("cached"), F.count(F.when(~done, 1)).alias("chunks"), F.coalesce(F.sum(F.when(~done, F.col("est"))), F.lit(0)).alias("est"))
+
+
+def catalogue(subs: DataFrame, days: DataFrame, todo: DataFrame, prefix: str = "", names: list[str] | None = None, most: int = 15) -> DataFrame:
+    """sub, found, posts, comments, missing, busy_s, quiet_s: of the subs whose name starts with the prefix (the first so many by name) and of
+    those named, how many items there are, how many aren't cached, and the seconds that takes at 15 and at 300 items a second. A name
+    that isn't there is a row with found false. subs: sub; days: sub, kind (posts, comments), day, n; todo: sub, kind, start, end."""
+    spark = subs.sparkSession
+    every = subs.select("sub", F.lower("sub").alias("__key"))
+    asked = spark.createDataFrame([(n, n.lower()) for n in dict.fromkeys(names or [])], "__name string, __key string")
+    by_prefix = every.where(F.startswith("__key", F.lit(prefix.lower()))).orderBy("__key").limit(most) if prefix else every.limit(0)
+    named = F.broadcast(asked).join(every, "__key", "left").select(F.coalesce("sub", "__name").alias("sub"), F.col("sub").isNotNull().alias("found"))
+    picked = F.broadcast(by_prefix.select("sub", F.lit(True).alias("found")).unionByName(named).distinct())
+    sizes = days.join(picked, "sub", "left_semi").groupBy("sub").agg(F.sum(F.when(F.col("kind") == "posts", F.col("n"))).alias("posts"), F.sum(F.when(F.col("kind") == "comments", F.col("n"))).alias("comments"))
+    missing = uncached_items(days.join(picked, "sub", "left_semi"), todo, ["sub", "kind"]).groupBy("sub").agg(F.sum("n").alias("missing"))
+    rows = picked.join(sizes, "sub", "left").join(missing, "sub", "left")
+    number = lambda c: F.when(F.col("found"), F.coalesce(c, F.lit(0)))
+    return rows.select("sub", "found", number("posts").alias("posts"), number("comments").alias("comments"), number("missing").alias("missing"), F.floor(number("missing") / 15).alias("busy_s"), F.floor(number("missing") / 300).alias("quiet_s"))

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.functions import text
+from quarry.operators import ordered
 
 MAX_QUESTIONS, STRONG, MIN_LONE_CHARS, MIN_THREAD_CHARS = 7, 0.7, 300, 25
 
@@ -66,6 +67,13 @@ def thread_sets(posts: DataFrame, threads: DataFrame, post_threshold: float = 0.
     return rows.select("post_id", "root", kind.alias("set")).where("set is not null")
 
 
+def thread_order(jobs: DataFrame, posts: DataFrame) -> DataFrame:
+    """jobs (post_id, root, set) with place: a before b before c, and in c the threads of the posts that score most first; else by post and root."""
+    score = posts.select("post_id", F.coalesce("verdict.score", F.lit(0.0)).alias("__score"))
+    rows = jobs.join(score, "post_id").withColumn("__score", F.when(F.col("set") == "c", F.col("__score")).otherwise(0.0))
+    return ordered.running(rows, [F.col("set"), F.desc("__score"), F.col("post_id"), F.col("root")], {}).drop("__score")
+
+
 def thread_summary(threads: DataFrame) -> DataFrame:
     """post_id, n_kept (keep or failed), n_kept_real (keep), q (greatest of kept threads for each question). threads: post_id, verdict."""
     kept = threads.where(F.col("verdict").isNull() | F.col("verdict.keep"))

@@ -1,6 +1,6 @@
 """From raw records to the tables of posts and comments."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from quarry.functions import text
 from quarry.operators import forest
@@ -38,6 +38,18 @@ def build(raw_posts: DataFrame, raw_comments: DataFrame, sub: str | None = None)
     return forest.surviving_posts(posts, kept), kept
 
 
+def build_counted(raw_posts: DataFrame, raw_comments: DataFrame, path: str, sub: str | None = None) -> dict[str, int]:
+    """build() and write_tables(), with the rows that came in and that were written: posts_in, posts, comments_in (of posts that are there),
+    comments. What is written is counted by the passes that write it."""
+    seen = {name: Observation() for name in ("posts", "comments")}
+    posts, comments = build(raw_posts, raw_comments, sub)
+    keyed = lambda df, name: df.observe(seen[name], F.count(F.lit(1)).alias("n"))
+    known = posts.select(F.col("id").alias("post_id"), F.lower("sub").alias("sub_key"))
+    write_tables(keyed(posts.withColumn("sub_key", F.lower("sub")), "posts"), keyed(comments.join(known, "post_id"), "comments"), path)
+    came = {"posts_in": raw_posts.count(), "comments_in": clean_comments(raw_comments, clean_posts(raw_posts, sub)).count()}
+    return came | {name: o.get["n"] for name, o in seen.items()}
+
+
 def numbered(rows: DataFrame, name: str) -> DataFrame:
     """Display numbers from 1 by created and id (null ones first), without one task for all rows: the rows of the hours before, then the
     place within the hour. Neither depends on how Spark deals the rows, so both passes over them agree."""

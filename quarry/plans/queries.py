@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import analysis, text
 from quarry.operators import forest, fulltext, hits, sampling, spans, verdicts
-from quarry.plans import filtering, readonly, report, scoring
+from quarry.plans import filtering, ingest, judging, readonly, report, scoring
 from quarry.sources import adapter as A, chunks as chunk_source
 from quarry.stored import Stored
 
@@ -741,11 +741,7 @@ fj AS (SELECT fi.*, NOT (r > 7 AND n > 8 AND fb.flair IS NOT NULL) AS judged FRO
 
 def keen_run(spark, d) -> filtering.Outcome:
     """A filter run over documents as posts and turns as their threads, each in parts of 300 characters."""
-    posts = A.posts(spark, d).withColumn("state", F.concat("sub", F.lit("\n"), "title"))
-    n = A.table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n")).scalar()
-    key = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    threads = A.table(spark, d, "conversations").select(F.concat(F.lit("d"), ((F.col("conv_id") * 8 + F.col("turn")) % n).cast("string")).alias("post_id"), F.concat(F.lit("c"), key).alias("root"), F.length("text").alias("chars"), (A.hashed(F.concat(F.lit("h"), key)) % 3 == 0).alias("has_hit"), "text")
-    parts = threads.where("chars > 0").withColumn("part", F.explode(F.sequence(F.lit(1), F.ceil(F.col("chars") / 300).cast("int")))).withColumn("state", F.expr("substring(text, 300 * (part - 1) + 1, 300)")).drop("text")
+    posts, parts = keen_inputs(spark, d)
     return filtering.FilterRun(posts, parts, KEEN, filtering.Answers(spark, scoring.HashScorer(200))).run(min_posts=8, samples=(3, 4))
 
 
@@ -795,6 +791,94 @@ def report_lines(spark, d):
     return spark.createDataFrame(list(enumerate(lines, 1)), "n int, line string")
 
 
+SAMPLED = f"""{HITS_SQL}, sm AS (SELECT DISTINCT p.id, pid % 3 <> 0 AS tm, pid FROM p JOIN h USING (id)), ss AS (SELECT id, tm, row_number() OVER (PARTITION BY tm ORDER BY sha1(id), id) AS r FROM sm),
+sp AS (SELECT id, CASE WHEN tm THEN 'hit in the post' ELSE 'found only through comments' END AS label FROM ss WHERE r <= 20)"""
+
+
+def keen_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
+    posts = A.posts(spark, d).withColumn("state", F.concat("sub", F.lit("\n"), "title"))
+    n = A.table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n")).scalar()
+    key = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    threads = A.table(spark, d, "conversations").select(F.concat(F.lit("d"), ((F.col("conv_id") * 8 + F.col("turn")) % n).cast("string")).alias("post_id"), F.concat(F.lit("c"), key).alias("root"), F.length("text").alias("chars"), (A.hashed(F.concat(F.lit("h"), key)) % 3 == 0).alias("has_hit"), "text")
+    return posts, threads.where("chars > 0").withColumn("part", F.explode(F.sequence(F.lit(1), F.ceil(F.col("chars") / 300).cast("int")))).withColumn("state", F.expr("substring(text, 300 * (part - 1) + 1, 300)")).drop("text")
+
+
+def keen_dry_run(spark, d):
+    pool = matched(spark, d)
+    return judging.dry_run(sampling.stratified(pool, 40), *keen_inputs(spark, d), KEEN, filtering.Answers(spark, scoring.HashScorer(200)))
+
+
+@query("judge_sample", f"""WITH {FILTER}, {SAMPLED}, sk AS (SELECT post_id, count(*) AS n, count(*) FILTER (q IS NULL OR greatest(q[1], q[2]) >= 0.93) AS k FROM fn GROUP BY post_id)
+SELECT label, sp.id, CASE WHEN excluded IS NOT NULL THEN 'EXCLUDED by ' || excluded WHEN included = 'post' THEN 'KEEP' WHEN included = 'thread' THEN 'KEEP via thread' WHEN included = 'unjudged' THEN 'UNJUDGED' ELSE 'drop' END AS decision,
+  CASE WHEN pr IS NULL THEN '[failed]' ELSE printf('[Must %.2f | Q1 %.2f Q2 %.2f | Not1 %.2f]', pr[1], pr[2], pr[3], pr[4]) END AS probs, coalesce(sk.n, 0) AS n_threads, coalesce(sk.k, 0) AS n_kept
+FROM sp JOIN fi ON fi.id = sp.id LEFT JOIN sk ON sk.post_id = sp.id""")
+def judge_sample(spark, d):
+    return keen_dry_run(spark, d)[0].drop("threads")
+
+
+@query("judge_totals", f"""WITH {FILTER}, {SAMPLED} SELECT count(*) AS n, count(included) AS kept, count(*) FILTER (included = 'thread') AS via, count(*) FILTER (excluded = 'must' AND vscore >= 0.93) AS must_only, count(*) FILTER (excluded = 'not') AS excluded,
+  count(*) FILTER (included IS NOT NULL AND f1 >= 0.93 AND NOT coalesce(f2 >= 0.93, false)) AS only_1, count(*) FILTER (included IS NOT NULL AND f2 >= 0.93 AND NOT coalesce(f1 >= 0.93, false)) AS only_2 FROM sp JOIN fi USING (id)""")
+def judge_totals(spark, d):
+    return judging.dry_run_totals(keen_dry_run(spark, d)[1], KEEN)
+
+
+@query("recall_audit_sides", f"""WITH {TP}, {C}, a AS (SELECT id FROM tp WHERE list_contains({TERMS.format('title')}, 'in') OR list_contains({TERMS.format('selftext')}, 'in')), b AS (SELECT post_id FROM c WHERE list_contains({TERMS.format('body')}, 'in')),
+x AS (SELECT id, bool_or(own) AS text_match, sum(via)::BIGINT AS n_comments FROM (SELECT id, true AS own, 0 AS via FROM a UNION ALL SELECT post_id, false, 1 FROM b) GROUP BY id)
+SELECT * FROM x WHERE id NOT IN (SELECT id FROM tp WHERE list_contains({TERMS.format('selftext')}, 'the'))""")
+def recall_audit_sides(spark, d):
+    posts, comments = A.threads_posts(spark, d), A.comments(spark, d)
+    own = fulltext.build_postings(posts, "post", "id", ["title", "selftext"])
+    found = fulltext.two_sided(own.unionByName(fulltext.build_postings(comments, "comment", "id", ["body"])), comments, "in")
+    earlier = fulltext.search(own, "post", ["title", "selftext"], "selftext:the").select(F.col("doc").alias("id"))
+    return hits.missed_on_both_sides(*found, earlier)
+
+
+@query("thread_order", f"WITH {THREADS} SELECT ts.post_id, root, st AS \"set\", row_number() OVER (ORDER BY st, CASE WHEN st = 'c' THEN vscore ELSE 0 END DESC, ts.post_id, root)::BIGINT AS place FROM ts JOIN jv ON jv.id = ts.post_id WHERE st IS NOT NULL")
+def thread_order(spark, d):
+    posts = judged(spark, d)
+    return verdicts.thread_order(verdicts.thread_sets(posts, some_threads(spark, d)), posts).select("post_id", "root", "set", F.col("place").cast("long").alias("place"))
+
+
+@query("show_posts", f"""WITH RECURSIVE {ORDER}, {TP}, ln AS (SELECT od.*, repeat('> ', least(depth + 1, 6)) AS q, c.author, c.score, c.body FROM od JOIN c USING (post_id, id)),
+tx AS (SELECT post_id, root, string_agg(q || '**u/' || author || '** (' || score || ') · c/' || id || chr(10) || array_to_string(list_transform(string_split(body, chr(10)), lambda x: q || CASE WHEN regexp_matches(x, '^\\s*(#|>|---\\s*$)') THEN '\\' || x ELSE x END), chr(10)) || chr(10) || rtrim(q), chr(10) ORDER BY place) AS text FROM ln GROUP BY ALL),
+th AS (SELECT tx.post_id, string_agg(tx.text, chr(10) ORDER BY c.created, root) AS threads FROM tx JOIN c ON c.id = tx.root GROUP BY tx.post_id),
+r AS (SELECT * FROM (VALUES (1, 'P3', 3), (2, 'c7', 7), (3, 'nothing', NULL), (4, 't3_c3', 3)) AS v(n, ref, pid))
+SELECT n::INT AS n, ref, id, '# P' || tp.pid || ' ' || title || chr(10) || 'r/' || author || ' | u/' || author || ' | ' || strftime(to_timestamp(1704067200 + tp.pid * 3600) AT TIME ZONE 'UTC', '%Y-%m-%d') || ' | score ' || ({h_sql('selftext')} % 50)
+  || ' | https://www.reddit.com/r/' || author || '/comments/' || id || '/' || chr(10) || chr(10) || selftext || chr(10) || chr(10) || coalesce(threads || chr(10), '') || chr(10) || '---' || chr(10) AS text
+FROM r LEFT JOIN tp ON tp.pid = r.pid LEFT JOIN th ON th.post_id = tp.id""")
+def show_posts(spark, d):
+    return judging.show(A.threads_posts(spark, d), A.comments(spark, d), ["P3", "c7", "nothing", "t3_c3"])
+
+
+@query("prune_counts", f"""WITH RECURSIVE {PRUNE}, kp AS (SELECT DISTINCT post_id, id FROM up) SELECT (SELECT count(*) FROM tp) AS posts_in, (SELECT count(*) FROM tp WHERE selftext <> '' OR id IN (SELECT post_id FROM kp)) AS posts,
+  (SELECT count(*) FROM c WHERE post_id IN (SELECT id FROM tp)) AS comments_in, (SELECT count(*) FROM kp JOIN c USING (post_id, id) WHERE post_id IN (SELECT id FROM tp)) AS comments""".replace("< 200", "< 40"))
+def prune_counts(spark, d):
+    posts = A.threads_posts(spark, d).select("id", "sub", F.lit("").alias("title"), "selftext", "author", F.lit(None).cast("string").alias("author_flair_text"), F.lit("").alias("link_flair_text"), "score", F.col("created").alias("created_utc"), F.lit(0).alias("num_comments"), F.lit(False).alias("over_18"), "url")
+    comments = A.comments(spark, d).select("id", F.concat(F.lit("t3_"), "post_id").alias("link_id"), F.when(F.col("parent").isNotNull(), F.concat(F.lit("t1_"), "parent")).otherwise(F.concat(F.lit("t3_"), "post_id")).alias("parent_id"), "author", F.col("flair").alias("author_flair_text"), "score", F.col("created").alias("created_utc"), "body")
+    counts = ingest.build_counted(posts, comments, Stored(spark, "build").path)
+    return spark.createDataFrame([counts], "posts_in long, posts long, comments_in long, comments long")
+
+
+@query("download_totals", f"WITH {K}, z AS (SELECT min(s) + 864000 AS a, max(s) - 864000 AS b FROM k) SELECT sub, kind, coalesce(sum(n_rows) FILTER (fin IS NOT NULL), 0)::BIGINT AS cached, count(*) FILTER (fin IS NULL) AS chunks, coalesce(sum(est) FILTER (fin IS NULL), 0)::BIGINT AS est FROM k, z WHERE s < b AND e > a GROUP BY sub, kind")
+def download_totals(spark, d):
+    chunks = A.chunks(spark, d)
+    ends = chunks.agg(F.min("start").alias("a"), F.max("start").alias("b")).first()
+    return spans.totals(chunks, ends.a + 864000, ends.b - 864000, ["sub", "kind"])
+
+
+@query("sub_catalogue", f"""WITH {K}, ks AS (SELECT 's' || sub AS sub, CASE WHEN kind IN ('click', 'view') THEN 'posts' ELSE 'comments' END AS kind, s, e, fin FROM k),
+dc AS (SELECT sub, kind, s // 86400 * 86400 AS day, count(*) AS n FROM ks GROUP BY ALL), td AS (SELECT sub, kind, s, e FROM ks WHERE fin IS NULL),
+ms AS (SELECT sub, sum(n) AS missing FROM dc WHERE EXISTS (SELECT 1 FROM td WHERE td.sub = dc.sub AND td.kind = dc.kind AND dc.day < td.e AND dc.day + 86400 > td.s) GROUP BY sub),
+pk AS (SELECT DISTINCT sub, true AS found FROM ks UNION ALL SELECT 'nowhere', false)
+SELECT pk.sub, found, CASE WHEN found THEN coalesce(sum(n) FILTER (kind = 'posts'), 0)::BIGINT END AS posts, CASE WHEN found THEN coalesce(sum(n) FILTER (kind = 'comments'), 0)::BIGINT END AS comments, CASE WHEN found THEN coalesce(any_value(missing), 0)::BIGINT END AS missing,
+  CASE WHEN found THEN coalesce(any_value(missing), 0)::BIGINT // 15 END AS busy_s, CASE WHEN found THEN coalesce(any_value(missing), 0)::BIGINT // 300 END AS quiet_s FROM pk LEFT JOIN dc ON dc.sub = pk.sub LEFT JOIN ms ON ms.sub = pk.sub GROUP BY pk.sub, found""")
+def sub_catalogue(spark, d):
+    chunks = A.chunks(spark, d).withColumn("sub", F.concat(F.lit("s"), "sub")).withColumn("kind", F.when(F.col("kind").isin("click", "view"), "posts").otherwise("comments"))
+    days = spans.day_counts(chunks.withColumn("created", F.col("start")), ["sub", "kind"])
+    todo = chunks.where("finished_at is null").select("sub", "kind", "start", "end")
+    return spans.catalogue(chunks.select("sub").distinct(), days, todo, "S", ["nowhere", "s3"])
+
+
 @query("post_state")
 def post_state(spark, d):
     tops = A.comments(spark, d).where("parent is null").groupBy(F.col("post_id").alias("id")).agg(F.collect_list(F.struct("score", "body")).alias("tops"))
