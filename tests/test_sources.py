@@ -97,6 +97,61 @@ def test_data_source(spark):
     assert len(rows) == 45 and {r["title"] for r in rows} == {"half �"}
 
 
+def crowded(path, params):
+    return server([{"id": f"{i:04}", "created_utc": 5} for i in range(150)] + [{"id": f"z{i}", "created_utc": i, "subreddit": "s"} for i in range(6, 40)], 100)(path, params)
+
+
+def test_filters_narrow_the_chunks(spark):
+    spark.dataSource.register(archive.ArchiveSource)
+    options = {"kind": "posts", "transport": "tests.test_sources:crowded", "chunks": json.dumps([["s", 0, 20], ["other", 0, 20], ["S", 20, 45]]), "pushdown": "true"}
+    reader = archive.PushingReader(options)
+    rest = list(reader.pushFilters([archive.GreaterThan(("created_utc",), 7), archive.LessThanOrEqual(("created_utc",), 21), archive.In(("subreddit",), ("s",))]))
+    assert len(rest) == 3 and reader.chunks == [["s", 8, 20], ["S", 20, 22]]
+    assert not [*archive.PushingReader(options).pushFilters([])] and len(archive.PushingReader(options).chunks) == 3
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = spark.read.format("archive").options(**options).load().where("created_utc >= 8 and created_utc < 22 and subreddit = 's'")
+        assert sorted(r.id for r in rows.select("id").distinct().collect()) == sorted(f"z{i}" for i in range(8, 22))
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_seconds_that_cannot_be_read_are_rows(spark):
+    spark.dataSource.register(archive.ArchiveSource)
+    df = spark.read.format("archive").options(kind="posts", transport="tests.test_sources:crowded", chunks=json.dumps([["s", 0, 30]])).load()
+    rows, skipped = archive.split_skipped(df)
+    assert [tuple(r) for r in skipped.collect()] == [("s", 5)] and rows.where("created_utc = 5").count() == 100 and rows.where("created_utc > 5").count() == 24 and "_skipped" not in rows.columns
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    spark.dataSource.register(archive.ArchiveSource)
+
+    def go(before, fail=False):
+        rows = spark.readStream.format("archive").options(kind="posts", transport="tests.test_sources:stub", subs='["s", "t"]', after="3", before=str(before), slice="7").load()
+
+        def take(batch, n):
+            batch.select("id", "created_utc", F.lit(n).alias("n")).write.mode("overwrite").parquet(str(tmp_path / "out" / f"n={n}"))
+            if fail:
+                raise RuntimeError("stopped")
+
+        q = rows.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "mark")).trigger(processingTime="1 second").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    read = lambda: sorted(r.created_utc for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    go(20)
+    assert read() == sorted([*range(3, 20)] * 2)
+    with pytest.raises(Exception, match="stopped"):
+        go(31, fail=True)
+    go(45)
+    assert read() == sorted([*range(3, 45)] * 2)
+    stream_ = archive.ArchiveStream({"kind": "posts", "subs": '["s"]', "after": "100", "lag": "60"}, now=lambda: 500)
+    assert stream_.latestOffset() == {"second": 440} and [p.value for p in stream_.partitions({"second": 100}, {"second": 440})] == [("s", 100, 440)]
+    assert archive.ArchiveStream({"kind": "posts", "subs": "[]", "after": "1000"}, now=lambda: 500).latestOffset() == {"second": 1000}
+
+
 def write(path, lines):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines))
