@@ -119,7 +119,9 @@ def estimated_tokens(c: Column) -> Column:
 
 
 def capped(c: Column, tokens: Column) -> Column:
-    """The longest prefix within so many estimated tokens: the estimate grows with each character, so bisection finds it."""
+    """The longest prefix within so many estimated tokens: the estimate grows with each character, so bisection finds it. No character counts
+    less than an ASCII one, so what can't fit is cut off first."""
+    c = F.substring(c, F.lit(1), F.least(F.ceil(F.greatest(tokens, F.lit(0.0)) * CHARS_PER_TOKEN) + 1, F.lit(2**31 - 1)).cast("int"))
     fits = lambda n: estimated_tokens(F.substring(c, F.lit(1), n)) <= tokens
     span = F.struct(F.lit(0).alias("lo"), F.length(c).alias("hi"))
 

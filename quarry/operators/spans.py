@@ -71,23 +71,26 @@ def plan_chunks(days: DataFrame, windows: DataFrame, keys: list[str], items: int
 
 def superseded(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """The finished chunks (keys, file) that the finished ones left cover, tried from the oldest on. Whether one goes depends on those that
-    went before it, so the catalogue of one key, a short list, is walked in order."""
+    went before it, so the catalogue of one key is swept in order: over the seconds at which chunks begin or end, it counts how many
+    chunks are left, and one goes if others are left all along it."""
+    import numpy as np
     import pandas as pd
 
     fields = {f.name: f.dataType.simpleString() for f in chunks.schema}
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(["finished_at", "start", "end", "file"]).to_dict("records")
-        left, gone = list(rows), []
-        for row in rows:
-            at = row["start"]
-            for other in sorted((x for x in left if x is not row), key=lambda x: x["start"]):
-                if other["start"] <= at:
-                    at = max(at, other["end"])
-            if at >= row["end"]:
-                left = [x for x in left if x is not row]
-                gone.append({k: row[k] for k in [*keys, "file"]})
-        return pd.DataFrame(gone, columns=[*keys, "file"])
+        rows = frame.sort_values(["finished_at", "start", "end", "file"])
+        cuts = np.unique(np.r_[rows["start"].to_numpy(), rows["end"].to_numpy()])
+        first, last = np.searchsorted(cuts, rows["start"].to_numpy()), np.searchsorted(cuts, rows["end"].to_numpy())
+        change = np.zeros(len(cuts) + 1, np.int64)
+        np.add.at(change, first, 1)
+        np.add.at(change, np.maximum(first, last), -1)
+        left, gone = np.cumsum(change), np.zeros(len(rows), bool)
+        for k, (a, b) in enumerate(zip(first, last)):
+            if b <= a or left[a:b].min() > 1:
+                gone[k] = True
+                left[a:b] -= 1
+        return rows.loc[gone, [*keys, "file"]]
 
     schema = ", ".join(f"{k} {fields[k]}" for k in [*keys, "file"])
     return chunks.where("finished_at is not null").select(*keys, "file", "start", "end", "finished_at").groupBy(*keys).applyInPandas(walk, schema)

@@ -37,9 +37,11 @@ def read_chunks(spark: SparkSession, root: str, chunks: DataFrame, windows: Data
         rows = spark.createDataFrame([], schema)
     else:
         rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(files)
-    path = F.input_file_name() if files else F.lit("")
-    rows = rows.withColumn("__path", path).withColumn("__line", F.monotonically_increasing_id()).where("_corrupt is null and id is not null").drop("_corrupt")
-    rows = rows.withColumn("__file", F.element_at(F.split("__path", "/"), -1)).withColumn("__sub", F.element_at(F.split("__path", "/"), -2) if files else F.lit(""))
+    # A chunk is a file or a folder of part files; names come as URLs.
+    parts = F.split(F.url_decode(F.replace(F.input_file_name() if files else F.lit(""), F.lit("+"), F.lit("%2B"))), "/")
+    parts = F.when(F.startswith(F.element_at(parts, -1), F.lit("part-")), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    rows = rows.withColumn("__path", parts).withColumn("__line", F.monotonically_increasing_id()).where("_corrupt is null and id is not null").drop("_corrupt")
+    rows = rows.withColumn("__file", F.element_at("__path", -1)).withColumn("__sub", F.get("__path", F.size("__path") - 2) if files else F.lit(""))
     info = F.broadcast(picked.select(F.lower("sub").alias("__sub"), "sub", F.col("file").alias("__file"), "after", "before", "finished_at"))  # the catalogue's rows
     inside = (F.coalesce("created_utc", F.lit(0)) >= F.col("after")) & (F.col("before").isNull() | (F.coalesce("created_utc", F.lit(0)) < F.col("before")))
     return rows.join(info, ["__sub", "__file"]).where(inside).drop("__sub", "__path", "after", "before").withColumnRenamed("__file", "file")
@@ -82,3 +84,27 @@ def cache_listing(chunks: DataFrame) -> DataFrame:
     done = chunks.where("finished_at is not null")
     merged = spans.islands(done.select("sub", "kind", "start", "end"), ["sub", "kind"])
     return merged.join(done.groupBy("sub", "kind").agg(F.sum("rows").alias("rows")), ["sub", "kind"])
+
+
+def import_chunk(spark: SparkSession, folder: str, root: str, sub: str, kind: str, after: int, before: int | None, catalogue: DataFrame, now: int, remove: bool = False) -> DataFrame:
+    """Takes the newest saved file of a sub and kind in a folder into the chunks below root, as a finished chunk, and gives the catalogue with it.
+    The end of an open span is when the file was saved. A file that is missing, still being written or of another sub is an error
+    before anything is written; remove: the saved file goes once its chunk is there."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder)
+    files = files.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), F.unix_seconds("modificationTime").alias("modified"))
+    picked = newest_file(files, sub, kind).join(files, "path").first()
+    if picked is None:
+        raise ValueError(f"no saved file of {kind} of {sub} in {folder}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(picked.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(path(f"{picked.path}.crswap")):
+        raise ValueError(f"{picked.path} is still being written")
+    end = before if before is not None else picked.modified
+    mine = catalogue.where((F.lower("sub") == sub.lower()) & (F.col("kind") == kind))
+    last = mine.agg(F.max(F.try_element_at(F.split("file", r"\."), F.lit(2)).try_cast("int")).alias("n")).first().n or 0
+    name = f"{kind}.{last + 1:04d}.jsonl"
+    import_file(spark, picked.path, sub, kind, after, end).write.mode("overwrite").json(f"{root}/{sub.lower()}/{name}")
+    n = spark.read.schema(RAW[kind]).json(f"{root}/{sub.lower()}/{name}").count()
+    if remove:
+        store.delete(path(picked.path), False)
+    return catalogue.unionByName(spark.createDataFrame([(sub, kind, name, after, end, 0, n, now)], CHUNKS))

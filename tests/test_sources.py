@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,7 +149,7 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     go(45)
     assert read() == sorted([*range(3, 45)] * 2)
     stream_ = archive.ArchiveStream({"kind": "posts", "subs": '["s"]', "after": "100", "lag": "60"}, now=lambda: 500)
-    assert stream_.latestOffset() == {"second": 440} and [p.value for p in stream_.partitions({"second": 100}, {"second": 440})] == [("s", 100, 440)]
+    assert stream_.latestOffset() == {"second": 440} and [p.value for p in stream_.partitions({"second": 100}, {"second": 440})] == [[("s", 100, 440)]]
     assert archive.ArchiveStream({"kind": "posts", "subs": "[]", "after": "1000"}, now=lambda: 500).latestOffset() == {"second": 1000}
 
 
@@ -225,6 +226,19 @@ def test_stream_keeps_the_newest(spark, tmp_path):
     write(tmp_path / "in" / "2.jsonl", [{"id": "a", "score": 5}, "{torn"])
     go()
     assert {r.id: r.score for r in stream.current(spark, str(tmp_path / "t"), "posts").collect()} == {"a": 5, "b": 1}
+    made = stream.generations(spark, str(tmp_path / "t"))
+    assert sorted(map(len, made.values())) == [1, 2]  # only a's bucket was written again
+    write(tmp_path / "in" / "3.jsonl", [{"id": "a", "score": 7}])
+    go()
+    write(tmp_path / "in" / "4.jsonl", [{"id": "a", "score": 6}])
+    go()
+    assert {r.id: r.score for r in stream.current(spark, str(tmp_path / "t"), "posts").collect()} == {"a": 6, "b": 1}
+    assert sorted(map(len, stream.generations(spark, str(tmp_path / "t")).values())) == [1, 2]
+    again = spark.createDataFrame([("a", 9)], "id string, score long").selectExpr("id", *(f"cast(null as {t}) as {c}" for c, t in (x.split() for x in stream.RAW["posts"].split(", ")) if c not in ("id", "score")), "score", "timestamp '2100-01-01' as arrived")
+    again = again.select(*[f.split()[0] for f in stream.RAW["posts"].split(", ")], "arrived")
+    for _ in range(2):  # a batch that is run again
+        stream.merge_batch(str(tmp_path / "t"), ["arrived", "score"])(again, 9)
+        assert {r.id: r.score for r in stream.current(spark, str(tmp_path / "t"), "posts").collect()} == {"a": 9, "b": 1}
 
 
 def test_numbers_follow_time(spark):
@@ -235,3 +249,31 @@ def test_numbers_follow_time(spark):
     order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
     assert [(r.id, r.created, r.pid) for r in got.orderBy("pid").collect()] == [(*r, k + 1) for k, r in enumerate(order)]
     assert ingest.numbered(df.where("false"), "pid").count() == 0
+
+
+def test_import_registers_a_chunk(spark, tmp_path):
+    folder, root = tmp_path / "saved files", tmp_path / "root"
+    write(folder / "r_x_posts.jsonl", [{"id": "old", "subreddit": "x", "created_utc": 1}])
+    write(folder / "r_x_posts (1).jsonl", [{"id": "b", "subreddit": "X", "created_utc": 9}, {"id": "a", "subreddit": "x", "created_utc": 3}, "{torn"])
+    write(folder / "r_y_posts.jsonl", [{"id": "a", "subreddit": "y", "created_utc": 3}])
+    write(folder / "r_y_posts.jsonl.crswap", [])
+    os.utime(folder / "r_x_posts.jsonl", (100, 100))
+    os.utime(folder / "r_x_posts (1).jsonl", (200, 200))
+    have = spark.createDataFrame([("X", "posts", "posts.0004.jsonl", 0, 5, 0, 1, 50)], chunks.CHUNKS)
+    got = chunks.import_chunk(spark, str(folder), str(root), "x", "posts", 0, None, have, 999, remove=True)
+    assert sorted(tuple(r) for r in got.where("finished_at = 999").collect()) == [("x", "posts", "posts.0005.jsonl", 0, 200, 0, 2, 999)] and got.count() == 2
+    assert not (folder / "r_x_posts (1).jsonl").exists() and (folder / "r_x_posts.jsonl").exists()
+    windows = spark.createDataFrame([("X", 0, 40)], "sub string, after long, before long")
+    rows = chunks.read_chunks(spark, str(root), got.where("finished_at = 999"), windows, "posts")
+    assert sorted((r.id, r.file) for r in rows.collect()) == [("a", "posts.0005.jsonl"), ("b", "posts.0005.jsonl")]
+    for sub, why in (("y", "still being written"), ("z", "no saved file")):
+        with pytest.raises(ValueError, match=why):
+            chunks.import_chunk(spark, str(folder), str(root), sub, "posts", 0, 10, have, 999)
+
+
+def test_spans_are_dealt_over_few_tasks():
+    spans = [("s", k, k + 10 * (k % 4 + 1)) for k in range(20)]
+    hands = archive.dealt(spans, 3)
+    assert sorted(s for h in hands for s in h.value) == sorted(spans) and len(hands) == 3
+    read = [sum(b - a for _, a, b in h.value) for h in hands]
+    assert max(read) - min(read) <= 40 and [len(archive.dealt(spans[:2], 6)), archive.dealt([], 6)[0].value] == [2, []]

@@ -84,3 +84,18 @@ def test_holes_and_uncached(spark):
     days = spark.createDataFrame([("a", "posts", 0, 3), ("a", "posts", 86400, 4), ("a", "posts", 172800, 5)], "sub string, kind string, day long, n long")
     todo = spark.createDataFrame([("a", "posts", 86399, 86401), ("a", "posts", 86500, 86600)], "sub string, kind string, start long, end long")
     assert [tuple(r) for r in spans.uncached_items(days, todo, K).collect()] == [("a", "posts", 7)]
+
+
+def test_superseded_as_by_trying_each(spark):
+    r = random.Random(9)
+    rows = [(str(k % 3), "posts", f"f{k}", a, a + r.choice([0, 1, 5, 20]), r.randint(0, 9)) for k in range(120) for a in [r.randint(0, 40)]]
+    df = spark.createDataFrame(rows, "sub string, kind string, file string, start long, end long, finished_at long")
+    want = set()
+    for key in "012":
+        left = sorted((x for x in rows if x[0] == key), key=lambda x: (x[5], x[3], x[4], x[2]))
+        for x in list(left):
+            others = {s for y in left if y is not x for s in range(y[3], y[4])}
+            if all(s in others for s in range(x[3], x[4])):
+                left.remove(x)
+                want.add(x[2])
+    assert {x.file for x in spans.superseded(df, ["sub", "kind"]).collect()} == want
