@@ -1,7 +1,8 @@
 """Analysers of the full-text index: a text to its terms, in order.
 
 plain: lower-cased runs of letters and digits, in the JVM. porter: the same without diacritics and with English words stemmed by
-the algorithm that Porter published in 1980, as a Pandas UDF over distinct work (each word is stemmed once a worker)."""
+the algorithm that Porter published in 1980, as a Pandas UDF. A worker process stems a word once for all its tasks, as long as its store
+of stems has room."""
 
 import re
 import unicodedata
@@ -94,11 +95,18 @@ def terms_of(text: str, known: dict[str, str]) -> list[str]:
     return out
 
 
+#: Of a worker process, which keeps it from task to task.
+_STEMS: dict[str, str] = {}
+
+
+def known_terms_of(text: str) -> list[str]:
+    return terms_of(text, _STEMS)
+
+
 def porter_terms(text: Column) -> Column:
     @F.pandas_udf("array<string>")
     def analyse(texts: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return pd.Series([None if t is None else terms_of(t, known) for t in texts], dtype=object)
+        return pd.Series([None if t is None else known_terms_of(t) for t in texts], dtype=object)
 
     return analyse(text)
 

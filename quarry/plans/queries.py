@@ -105,7 +105,8 @@ def tokenize_terms(spark, d):
 
 @query("tokenize_stemmed")
 def tokenize_stemmed(spark, d):
-    return A.posts(spark, d).select("id", F.size(analysis.porter_terms(F.col("selftext"))).alias("n_terms"), F.size(F.array_distinct(analysis.porter_terms(F.col("selftext")))).alias("n_stems"))
+    terms = A.posts(spark, d).select("id", analysis.porter_terms(F.col("selftext")).alias("t"))
+    return terms.select("id", F.size("t").alias("n_terms"), F.size(F.array_distinct("t")).alias("n_stems"))
 
 
 @query("postings_build", f"""WITH {P}, t AS (SELECT id, unnest({TERMS.format('selftext')}) AS term, generate_subscripts({TERMS.format('selftext')}, 1) - 1 AS pos FROM p)
@@ -879,14 +880,27 @@ def sub_catalogue(spark, d):
     return spans.catalogue(chunks.select("sub").distinct(), days, todo, "S", ["nowhere", "s3"])
 
 
-@query("post_state")
+@query("post_state", f"""WITH {TP}, {C}, ls AS (SELECT post_id, '- ' || replace(substring(body, 1, 400), chr(10), ' ') AS line, row_number() OVER (PARTITION BY post_id ORDER BY score DESC, body DESC) AS k FROM c WHERE parent IS NULL),
+lt AS (SELECT *, sum(length(line)) OVER (PARTITION BY post_id ORDER BY k) AS used FROM ls), tops AS (SELECT post_id, string_agg(line, chr(10) ORDER BY k) AS lines FROM lt WHERE used <= 3000 GROUP BY post_id)
+SELECT id, 'Subreddit: r/' || author || chr(10) || 'Post title: ' || title || chr(10) || CASE WHEN selftext <> '' THEN 'Post text:' || chr(10) || selftext || chr(10) ELSE '' END || coalesce('Top comments:' || chr(10) || lines || chr(10), '') AS state FROM tp LEFT JOIN tops ON tops.post_id = tp.id""")
 def post_state(spark, d):
     tops = A.comments(spark, d).where("parent is null").groupBy(F.col("post_id").alias("id")).agg(F.collect_list(F.struct("score", "body")).alias("tops"))
     posts = A.threads_posts(spark, d).join(tops, "id", "left").withColumn("hits", F.expr("cast(array() as array<struct<score: bigint, body: string>>)")).withColumn("tops", F.coalesce("tops", "hits"))
     return scoring.post_states(posts, text.query_stems(["the and"])).select("id", "state")
 
 
-@query("thread_state")
+def tokens_sql(x: str) -> str:
+    plain = f"length(regexp_replace({x}, '[^\\x00-\\x7F]', '', 'g'))"
+    return f"({plain} / 3.7 + (length({x}) - {plain}))"
+
+
+@query("thread_state", f"""WITH RECURSIVE {ORDER}, {TP},
+hd AS (SELECT id, 'A comment thread under the post "' || title || '" in r/' || author || '.' || CASE WHEN selftext <> '' THEN ' The post says: ' || substring(selftext, 1, 800) ELSE '' END || chr(10) || 'The thread:' || chr(10) AS head FROM tp),
+ln AS (SELECT od.post_id, root, row_number() OVER (PARTITION BY od.post_id, root ORDER BY place) AS i, repeat('  ', depth) || 'u/' || author || ': ' || body || chr(10) AS line FROM od JOIN c USING (post_id, id)),
+lk AS (SELECT ln.*, head, 3800 - {tokens_sql('head')} AS room, {tokens_sql('line')} AS n FROM ln JOIN hd ON hd.id = ln.post_id),
+fold AS (SELECT post_id, root, i, 0 AS part, n AS used FROM lk WHERE i = 1
+  UNION ALL SELECT lk.post_id, lk.root, lk.i, CASE WHEN used + n > room THEN part + 1 ELSE part END, CASE WHEN used + n > room THEN n ELSE used + n END FROM fold JOIN lk ON lk.post_id = fold.post_id AND lk.root = fold.root AND lk.i = fold.i + 1)
+SELECT lk.post_id, lk.root, part::INT AS part, any_value(head) || string_agg(line, '' ORDER BY lk.i) AS state FROM fold JOIN lk ON lk.post_id = fold.post_id AND lk.root = fold.root AND lk.i = fold.i GROUP BY ALL""")
 def thread_state(spark, d):
     return scoring.thread_states(forest.reading_order(A.comments(spark, d)), A.threads_posts(spark, d))
 
