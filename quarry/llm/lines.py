@@ -31,7 +31,7 @@ BLANKS = "\t\r\x0b\x0c"
 FIRST_TOKENS, FIRST_BEFORE, FIRST_ROWS, LIKELIEST = 2, 3, 1 << 17, 8
 #: Bands grow by this factor; lists of about so many rows are dealt in blocks.
 BAND, BLOCK_ROWS = 1.5, 1 << 13
-PASSES, SETTLE_AFTER = 8, (0, 1, 3)
+PASSES, SETTLE_AFTER = 8, (0, 1, 3, 7)
 #: Tables of two or three numbers a row are broadcast up to so many rows.
 BROADCAST_ROWS = 1 << 18
 LOW56 = (1 << 56) - 1
