@@ -4,10 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (local runs, tests) a folder in the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+from quarry.stored import shared_root
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
