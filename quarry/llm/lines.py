@@ -28,7 +28,7 @@ BUCKETS = 1 << 17
 BLANKS = "\t\r\x0b\x0c"
 #: The first round: so many of the last tokens of each prefix, so many sets before it in a list, and about so many rows a list before it
 #: is split. After each part of the second round so many pairs of each set are verified.
-FIRST_TOKENS, FIRST_BEFORE, FIRST_ROWS, LIKELIEST = 2, 3, 1 << 17, 8
+FIRST_TOKENS, FIRST_BEFORE, FIRST_ROWS, LIKELIEST = 4, 3, 1 << 17, 8
 #: Bands grow by this factor; lists of about so many rows are dealt in blocks.
 BAND, BLOCK_ROWS = 1.5, 1 << 13
 PASSES, SETTLE_AFTER = 8, (0, 1, 3, 7)
@@ -146,9 +146,10 @@ def could(p: str, q: str, num: int, den: int) -> Column:
 
 
 def postings(classes: DataFrame, tokens: Column, *cols) -> DataFrame:
-    """One narrow row for each of the tokens. size_at: the set's size in the upper half, the token's place in the lower."""
-    each = classes.select("a", "n", *MAPS, "doc", "pos", *cols, F.posexplode(tokens).alias("i", "tok"))
-    return each.select("tok", "a", "doc", "pos", *MAPS, *cols, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size_at"))
+    """One narrow row for each of the tokens. size_at: the set's size in the upper half, the token's place in the lower; prev: the token before
+    it in the prefix, of which the tokens are the first ones."""
+    each = classes.select("a", "n", *MAPS, "doc", "pos", "prefix", *cols, F.posexplode(tokens).alias("i", "tok"))
+    return each.select("tok", F.get("prefix", F.col("i") - 1).alias("prev"), "a", "doc", "pos", *MAPS, *cols, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size_at"))
 
 
 def first_round(classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -185,7 +186,7 @@ def second_round(flagged: DataFrame, num: int, den: int, part: int) -> DataFrame
         posts = posts.where(F.pmod(F.shiftright("tok", 20), F.lit(PASSES)) == part)
         blocks = parts_of(F.col("tok"), BLOCK_ROWS)
         posts = posts.select("*", F.pmod(F.xxhash64("doc", "pos"), blocks).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), blocks - 1)).alias(other))
-        return posts.select(F.xxhash64("tok", "band", "one", "two").alias("key"), "a", "doc", "pos", *MAPS, "size_at")
+        return posts.select(F.xxhash64("tok", "band", "one", "two").alias("key"), "prev", "a", "doc", "pos", *MAPS, "size_at")
 
     p, q = dealt(smaller, "one", "two").alias("p"), dealt(larger, "two", "one").alias("q")
     at = {s: F.greatest(F.col(f"{s}.pos"), -1 - F.col(f"{s}.pos")) for s in "pq"}
@@ -193,7 +194,9 @@ def second_round(flagged: DataFrame, num: int, den: int, part: int) -> DataFrame
     late = (before("p", "q") & (F.col("q.pos") >= 0)) | (before("q", "p") & (F.col("p.pos") >= 0))
     # Of two equal sizes, each of which asks the other, one is taken.
     once = (size("q.") > size("p.")) | ((size("q.") == size("p.")) & (F.col("q.a") > F.col("p.a")))
-    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & once & could("p.", "q.", num, den) & late)
+    # Two sets that share the token before too meet there, with the same bounds: a run of shared tokens gives one row, not one for each.
+    begins = F.col("p.prev").isNull() | F.col("q.prev").isNull() | (F.col("p.prev") != F.col("q.prev"))
+    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & begins & once & could("p.", "q.", num, den) & late)
     end = lambda s, t, c: F.when(before("p", "q"), at[s] if c == "pos" else F.col(f"{s}.{c}")).otherwise(at[t] if c == "pos" else F.col(f"{t}.{c}"))
     far = (lacks("p.", "q.") + lacks("q.", "p.")).alias("far")
     return pairs.select(far, *(end(s, t, c).alias(f"{name}_{c}") for name, s, t in (("x", "p", "q"), ("y", "q", "p")) for c in ("a", "doc", "pos"))).distinct()
