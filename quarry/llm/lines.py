@@ -14,15 +14,15 @@ filter), and so does a bit map of each set. What passes is verified on the sets
 A line is removed if an earlier one matches it. One match is enough, so a first round compares each class only with a few
 others of a few lists; that settles the members of large groups of near copies, and the second round compares
 the classes that are left with every earlier class that they can meet. No pair is skipped: whatever is left is compared in full.
-Lists of very common tokens are dealt in blocks, by their token's level, and the join runs in PASSES over parts of the keys, which
-bounds the disk that it takes at a time.
+Long lists are dealt in blocks, by the number of rows that are posted and that ask there, and the join runs in PASSES over parts of the
+keys, which bounds the disk that it takes at a time.
 """
 
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
-from .scratch import Scratch
+from .scratch import Scratch, unused
 
 BUCKETS = 1 << 17
 BLANKS = "\t\r\x0b\x0c"
@@ -85,7 +85,8 @@ def by_rarity(level: Column) -> Column:
 
 
 def parts_of(token: Column, rows: int) -> Column:
-    """A power of two, 1 at least: in so many parts the list of a token of this level has about so many rows (a power of two) each."""
+    """A power of two, 1 at least: in so many parts the list of a token of this level has about so many rows (a power of two) each, at
+    most: the level counts all tokens of the bucket."""
     over = F.greatest(F.lit(0), F.shiftright(F.shiftright(token, 56).cast("int") + 2, 2) - rows.bit_length() + 1)
     return F.call_function("shiftleft", F.lit(1), over)
 
@@ -171,9 +172,8 @@ def first_round(classes: DataFrame, num: int, den: int) -> DataFrame:
     return best.select(*(F.col(f"x.{c}").alias(f"x_{c}") for c in ("a", "doc", "pos")), *(F.col(c).alias(f"y_{c}") for c in ("a", "doc", "pos")))
 
 
-def second_round(flagged: DataFrame, num: int, den: int, part: int) -> DataFrame:
-    """Pairs of a class that isn't settled and an earlier one, by the shared tokens of one part of the keys. A place below 0 tells that
-    a class is settled."""
+def lists(flagged: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that the classes post as the smaller set of a pair, and those that they ask with as the larger one, by tok and band."""
     n, both = F.col("n"), num + den
     posted = F.slice("prefix", F.lit(1), (n - ceil_of(n, 2 * num, both) + 1).cast("int"))
     smaller = postings(flagged.withColumn("band", band(n)), posted, "band")
@@ -181,11 +181,28 @@ def second_round(flagged: DataFrame, num: int, den: int, part: int) -> DataFrame
     least = F.greatest(ceil_of(n, num, den), F.floor(F.pow(F.lit(BAND), F.col("band"))))
     asked = F.slice("prefix", F.lit(1), F.least(F.size("prefix"), (n - ceil_of(n + least, num, both) + 1).cast("int")))
     larger = postings(flagged.select("*", F.explode(F.sequence(band(ceil_of(n, num, den)), band(n))).alias("band")), asked, "band")
+    return smaller, larger
+
+
+def long_lists(flagged: DataFrame, num: int, den: int) -> DataFrame:
+    """tok, band, ones, twos: how many blocks of about BLOCK_ROWS the rows posted and the rows that ask make, of the lists where that
+    isn't one each. A token's level bounds its list from above, so only lists of high levels are counted."""
+    smaller, larger = (rows.select("tok", "band") for rows in lists(flagged, num, den))
+    rows = smaller.select("*", F.lit(1).alias("one"), F.lit(0).alias("two")).unionByName(larger.select("*", F.lit(0).alias("one"), F.lit(1).alias("two")))
+    counts = rows.where(parts_of(F.col("tok"), BLOCK_ROWS) > 1).groupBy("tok", "band").agg(*(F.sum(c).alias(c) for c in ("one", "two")))
+    blocks = [F.ceil(F.col(c) / BLOCK_ROWS).cast("int").alias(f"{c}s") for c in ("one", "two")]
+    return counts.where("one > 0 and two > 0").select("tok", "band", *blocks).where("ones > 1 or twos > 1")
+
+
+def second_round(flagged: DataFrame, long: DataFrame, num: int, den: int, part: int) -> DataFrame:
+    """Pairs of a class that isn't settled and an earlier one, by the shared tokens of one part of the keys. A place below 0 tells that
+    a class is settled."""
+    smaller, larger = lists(flagged, num, den)
 
     def dealt(posts: DataFrame, mine: str, other: str) -> DataFrame:
-        posts = posts.where(F.pmod(F.shiftright("tok", 20), F.lit(PASSES)) == part)
-        blocks = parts_of(F.col("tok"), BLOCK_ROWS)
-        posts = posts.select("*", F.pmod(F.xxhash64("doc", "pos"), blocks).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), blocks - 1)).alias(other))
+        posts = posts.where(F.pmod(F.shiftright("tok", 20), F.lit(PASSES)) == part).join(long, ["tok", "band"], "left")
+        blocks = {c: F.coalesce(F.col(f"{c}s"), F.lit(1)) for c in (mine, other)}
+        posts = posts.select("*", F.pmod(F.xxhash64("doc", "pos"), blocks[mine]).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), blocks[other] - 1)).alias(other))
         return posts.select(F.xxhash64("tok", "band", "one", "two").alias("key"), "prev", "a", "doc", "pos", *MAPS, "size_at")
 
     p, q = dealt(smaller, "one", "two").alias("p"), dealt(larger, "two", "one").alias("q")
@@ -249,6 +266,7 @@ def later_matches(spark: SparkSession, docs: DataFrame, scratch: Scratch, num: i
     gone = verified(sets, first, num, den, scratch, "round1")
     flagged = classes.select("a", "b", "n", *MAPS, "doc", "pos", "prefix")
     flagged = scratch.save(settle(flagged, gone), "flagged0", "orc", compression="zstd")
+    long = if_small(scratch.save(long_lists(flagged, num, den), "long"))
     several = scratch.save(classes.where("lines > 1").select("a", "b", here.alias("rank")), "several")
     scratch.drop("first", "classes")
     # The first parts of the keys settle most classes that have a match, so that the next ones ask for fewer pairs; what isn't settled by
@@ -256,7 +274,7 @@ def later_matches(spark: SparkSession, docs: DataFrame, scratch: Scratch, num: i
     parts = []
     of_y = Window.partitionBy("y_a", "y_doc", "y_pos").orderBy("far", "x_doc", "x_pos", "x_a")
     for k in range(PASSES):
-        parts.append(scratch.save(second_round(flagged, num, den, k), f"pairs{k}"))
+        parts.append(scratch.save(second_round(flagged, long, num, den, k), f"pairs{k}"))
         if k in SETTLE_AFTER:
             likely = scratch.save(parts[k].withColumn("k", F.row_number().over(of_y)).where(F.col("k") <= LIKELIEST).drop("k", "far"), f"likely{k}")
             more = verified(sets, likely, num, den, scratch, f"likely{k}")
@@ -268,7 +286,7 @@ def later_matches(spark: SparkSession, docs: DataFrame, scratch: Scratch, num: i
     pairs = scratch.save(left.select("x_a", "x_doc", "x_pos", "y_a", "y_doc", "y_pos"), "pairs")
     scratch.drop("round1-matched", *(f"pairs{k}" for k in range(PASSES)), *(f"{t}{k}{u}" for k in SETTLE_AFTER for t, u in (("flagged", ""), ("likely", ""), ("likely", "-matched"))), f"flagged{SETTLE_AFTER[-1] + 1}")
     more = verified(sets, pairs, num, den, scratch, "round2")
-    scratch.drop("pairs", "levels")
+    scratch.drop("pairs", "levels", "long")
 
     # A line goes if its class has an earlier match, or if it isn't the class's earliest one.
     late = gone.unionByName(more).distinct().withColumn("late", F.lit(True))
@@ -278,36 +296,37 @@ def later_matches(spark: SparkSession, docs: DataFrame, scratch: Scratch, num: i
     return lost.groupBy("doc", "text_key").agg(F.collect_set("pos").alias("gone"))
 
 
-def remove_later(spark: SparkSession, docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows, with all their columns; text is without the lines that an earlier line matches with at least num / den, and a
-    column n_chars, where there is one, is its new length.
+def remove_later(spark: SparkSession, docs: DataFrame, removed: str, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows, with all their columns and one more named by removed, the number of lines that went; text is without the lines that an
+    earlier line matches with at least num / den, and a column n_chars, where there is one, is its new length.
 
     Lines rank by doc_id (null first) and place. Rows with one doc_id rank alike: equal lines at one place of both are no later one
-    of each other, so rows equal in doc_id and text get equal results. Lines without words stay; null and empty texts come back as they are. A text that loses all its lines is empty."""
+    of each other, so rows equal in doc_id and text get equal results. Lines without words stay; null and empty texts come back as they
+    are. A text that loses all its lines is empty. Other columns may have any names; removed must be a new one."""
     scratch = Scratch(spark, "lines")
     gone = scratch.save(later_matches(spark, docs, scratch, num, den), "gone")
     scratch.drop("sets", "state")
     text = F.col("text").cast("string")
-    lost = gone.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"))
-    on = (own_id() == F.col("__doc")) & (F.xxhash64(text) == F.col("__key"))
-    joined = docs.join(lost, on, "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    new = F.when(F.col("__gone").isNull(), text).otherwise(kept)
-    cols = [new.alias(c) if c == "text" else F.length(new).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return joined.select(*cols, F.coalesce(F.size("__gone"), F.lit(0)).alias("__n")).withColumn("__n", F.greatest("__n", F.lit(0)))
+    doc, key, places = unused(docs, "doc", "text_key", "gone")
+    lost = gone.select(F.col("doc").alias(doc), F.col("text_key").alias(key), F.col("gone").alias(places))
+    joined = docs.join(lost, (own_id() == F.col(doc)) & (F.xxhash64(text) == F.col(key)), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(places, i)), "\n")
+    new = F.when(F.col(places).isNull(), text).otherwise(kept)
+    cols = [new.alias(c) if c == "text" else F.length(new).cast(t).alias(c) if c == "n_chars" else F.col(f"`{c.replace('`', '``')}`") for c, t in docs.dtypes]
+    return joined.select(*cols, F.greatest(F.coalesce(F.size(places), F.lit(0)), F.lit(0)).alias(removed))
 
 
 def without_later_lines(spark: SparkSession, docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
     """remove_later() with the columns of docs. Without keep_emptied the rows go that lose lines and have no word left; texts that had
     none before stay, null and empty ones among them."""
-    found = remove_later(spark, docs)
+    (removed,) = unused(docs, "n_removed")
+    found = remove_later(spark, docs, removed)
     if not keep_emptied:
-        found = found.where((F.col("__n") == 0) | F.col("text").rlike(f"[^ \n{BLANKS}]"))
-    return found.drop("__n")
+        found = found.where((F.col(removed) == 0) | F.col("text").rlike(f"[^ \n{BLANKS}]"))
+    return found.drop(removed)
 
 
 def line_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, text, n_removed for each row. Null and empty texts come back as they are, with 0; repeated rows get equal results; an
     empty table gives an empty one."""
-    found = remove_later(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return found.withColumnRenamed("__n", "n_removed")
+    return remove_later(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "n_removed")

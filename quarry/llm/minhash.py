@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import words
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, unused
 
 COORDS, POSTED = 64, 32
 POSTED_MISS, MISS = 2e-5, 1e-4
@@ -249,5 +249,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows, with all their columns, of the documents that near_duplicates() keeps: one doc_id of each component, and all rows
     without doc_id."""
-    found = Scratch(spark, "near").save(near_duplicates(spark, docs, percent).where("not kept").select(F.col("doc_id").alias("__doc_id")).distinct(), "late")
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("__doc_id"), "left_anti")
+    (late,) = unused(docs, "late_id")
+    found = Scratch(spark, "near").save(near_duplicates(spark, docs, percent).where("not kept").select(F.col("doc_id").alias(late)).distinct(), "late")
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(late), "left_anti")

@@ -35,5 +35,11 @@ class Scratch:
             drop_path(self.spark, f"{self.path}/{name}")
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that docs has."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(x for x in ("_" * k + name for k in range(len(taken) + 1)) if x not in taken) for name in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

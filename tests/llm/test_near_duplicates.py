@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import components, lines, minhash, words
@@ -88,6 +89,8 @@ def test_filter_keeps_one_of_each(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, None, "z"), (None, "a b c d e f", "n")], "doc_id long, text string, kept string")
     got = minhash.without_near_duplicates(spark, df)
     assert got.columns == df.columns and {r.kept for r in got.collect()} == {"x", "z", "n"}
+    named = df.withColumns({c: F.col("doc_id") for c in ("late_id", "_late_id", "__doc_id")})
+    assert {r.kept for r in minhash.without_near_duplicates(spark, named).collect()} == {"x", "z", "n"}
 
 
 def test_pipeline_stage_at_80_percent(spark):
@@ -201,6 +204,49 @@ def test_lines_against_brute_force(spark):
     assert lines.line_report(spark, df.limit(0)).count() == 0
 
 
+def test_lines_in_blocks_by_shuffles_and_with_long_lines(spark, monkeypatch):
+    r = random.Random(11)
+    common = [f"c{i}" for i in range(30)]
+
+    def line(n):
+        return [r.choice(common) for _ in range(n // 4)] + [f"w{r.randrange(n * 3)}" for _ in range(n)]
+
+    rows, pool = [], [line(r.choice([3, 8, 20, 60, 100, 130, 200, 400])) for _ in range(50)]
+    for i in range(70):
+        text = []
+        for _ in range(r.randint(1, 4)):
+            w = list(r.choice(pool))
+            for _ in range(r.choice([0, 1, len(w) // 12, len(w) // 9, len(w) // 8])):
+                w[r.randrange(len(w))] = f"v{r.randrange(900)}"
+            text.append(" ".join(w))
+        rows.append((i, "\n".join(text)))
+    rows += [(100 + i, "one line that many documents share") for i in range(40)] + [(200 + i, f"one line that many documents share x{i}") for i in range(40)]
+    rows += [(300, " ".join(f"long{i}" for i in range(20_000))), (301, " ".join(f"long{i}" for i in range(19_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name, value in (("BLOCK_ROWS", 2), ("FIRST_ROWS", 8), ("BROADCAST_ROWS", 3), ("FIRST_BEFORE", 1), ("LIKELIEST", 1)):
+        monkeypatch.setattr(lines, name, value)
+    blocks = []
+
+    def counted(*args, long_lists=lines.long_lists):
+        found = long_lists(*args)
+        blocks.append(found.agg(F.count("*"), F.max("ones"), F.max("twos")).first())
+        return found
+
+    monkeypatch.setattr(lines, "long_lists", counted)
+    got = sorted((tuple(x) for x in lines.line_report(spark, df).collect()), key=str)
+    assert got == brute_lines(rows)
+    assert blocks and min(blocks[0]) > 1 and blocks[0][0] > 3  # both sides in blocks, and more lists than are broadcast
+
+
+def test_lines_whatever_the_columns_are_named(spark):
+    df = spark.createDataFrame([(1, "a b c d\nx"), (2, "A b c d"), (3, None)], "doc_id long, text string")
+    for c in ("doc", "text_key", "gone", "_gone", "n_removed", "__n", "__doc", "tok", "a.b"):
+        df = df.withColumn(c, F.col("doc_id") + 5)
+    got = lines.without_later_lines(spark, df)
+    assert got.columns == df.columns
+    assert sorted(tuple(x) for x in got.collect()) == [(1, "a b c d\nx", *[6] * 9), (2, "", *[7] * 9), (3, None, *[8] * 9)]
+
+
 def test_lines_keep_columns(spark):
     df = spark.createDataFrame([(1, "a b c d\nx", 9, "l"), (2, "A b c d", 7, "m"), (2, "A b c d", 7, "m")], "doc_id long, text string, n_chars long, tok string")
     got = lines.without_later_lines(spark, df)
