@@ -381,9 +381,9 @@ def coverage_holes(spark, d):
     return spans.holes(A.chunks(spark, d), A.windows(spark, d), KEYS)
 
 
-@query("fetch_order", f"WITH {K} SELECT file, est FROM k WHERE fin IS NULL ORDER BY est DESC, s, file LIMIT 50")
+@query("fetch_order", f"WITH {K} SELECT file, est FROM k WHERE fin IS NULL ORDER BY est DESC, s, file")
 def fetch_order(spark, d):
-    return spans.fetch_order(A.chunks(spark, d)).select("file", "est").limit(50)
+    return spans.fetch_order(A.chunks(spark, d)).select("file", "est")
 
 
 @query("fetch_order_all", f"WITH {K} SELECT file, est FROM k WHERE fin IS NULL")

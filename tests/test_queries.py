@@ -44,6 +44,7 @@ def test_fetch_order_all_leaves_no_chunk_out(spark):
     d = DATA.replace("sf0.001", "sf0.01")
     want = queries.A.chunks(spark, d).where("finished_at is null").select("est", "start", "file").collect()
     rows = QUERIES["fetch_order_all"](spark, d).collect()
+    assert QUERIES["fetch_order"](spark, d).collect() == rows
     assert len(want) > 50
     assert [(r.file, r.est) for r in rows] == [(r.file, r.est) for r in sorted(want, key=lambda r: (-r.est, r.start, r.file))]
 
