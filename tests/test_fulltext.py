@@ -103,3 +103,19 @@ def test_searches_in_sql(spark, postings, tmp_path):
         with pytest.raises(readonly.NotReadOnly):
             run(bad)
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_no_token_is_shuffled(spark):
+    """Only whole documents are, by one exchange for all columns (one more for a UDF's terms), before their terms become rows. Rows of one
+    document have their positions together."""
+    docs = spark.createDataFrame([("1", "b a", "a b a"), ("1", None, "c a"), ("2", "", None), (None, "x", "x y")], "id string, title string, selftext string")
+    for analyser in ("plain", "porter"):
+        df = fulltext.build_postings(docs, "post", "id", ["title", "selftext"], analyser)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.split("Generate")[0] and plan.count("Generate") == plan.count("Scan") == 1
+        assert plan.count("- Exchange") == (1 if analyser == "plain" else 2)
+        got = sorted((r.kind, r.doc or "", r.col, r.term, r.positions) for r in df.collect())
+        assert got == [
+            ("post", "", "selftext", "x", [0]), ("post", "", "selftext", "y", [1]), ("post", "", "title", "x", [0]), ("post", "1", "selftext", "a", [0, 1, 2]), ("post", "1", "selftext", "b", [1]),
+            ("post", "1", "selftext", "c", [0]), ("post", "1", "title", "a", [1]), ("post", "1", "title", "b", [0]),
+        ]
