@@ -1,6 +1,7 @@
 """Filter runs with a scripted model, against the same run written as plain loops."""
 
 import hashlib
+import re
 from collections import Counter
 
 import pytest
@@ -153,3 +154,21 @@ def test_a_model_that_is_down_ends_the_run(spark, tmp_path):
     posts = spark.createDataFrame([(f"p{i}", "s", None, f"x{i}#") for i in range(8)], "id string, sub string, link_flair string, state string")
     with pytest.raises(RuntimeError, match="fails"):
         filtering.FilterRun(posts, frames(spark)[1], QS, filtering.Answers(spark, Scripted(tmp_path / "log"))).run()
+
+
+def test_a_wave_reads_its_own_states(spark, tmp_path, monkeypatch):
+    """Of 8 waves none reads the states of another or the answers before it: what a run reads grows with its states, not with their square."""
+    states = spark.range(2_000).selectExpr("concat('s', id) as state")
+    answers = filtering.Answers(spark, Scripted(tmp_path / "log"), wave=250)
+    waves, tables, append, table = [], [], answers.store.append, answers.store.read
+
+    def appended(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        waves.extend(re.findall(r"PartitionFilters: \[[^\]]*\(__wave#\d+ = (\d+)\)", plan))
+        append(df, name)
+
+    monkeypatch.setattr(answers.store, "append", appended)
+    monkeypatch.setattr(answers.store, "read", lambda *a: tables.append(a) or table(*a))
+    answers.ask(states, ["a"])
+    assert sorted(waves) == [str(w) for w in range(8)] and len(tables) == 1
+    assert len(set(Scripted(tmp_path / "log").calls())) == 2_000 == answers.table().count() == answers.calls
