@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import words
+from .scratch import BATCH_ROWS
 
 MIN_TILE, MIN_COVERAGE = 5, 0.6
 #: Of the benchmark, so many bytes are broadcast at a time; a larger one takes several passes over the documents.
@@ -128,9 +129,11 @@ def leaks(shared, min_coverage: float):
 
     @F.pandas_udf("boolean")
     def run(text: pd.Series) -> pd.Series:
-        texts = [t.encode() if isinstance(t, str) else b"" for t in text]
-        hit = {r[0] for r in shared.value.found(texts, min_coverage)}
-        return pd.Series([i in hit for i in range(len(texts))], dtype=bool)
+        hit = set()
+        for k in range(0, len(text), BATCH_ROWS):
+            texts = [t.encode() if isinstance(t, str) else b"" for t in text.iloc[k : k + BATCH_ROWS]]
+            hit |= {k + r[0] for r in shared.value.found(texts, min_coverage)}
+        return pd.Series([i in hit for i in range(len(text))], dtype=bool)
 
     return run
 

@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .scratch import BATCH_ROWS
+
 PAD = b"\n\n\n"
 #: The sample that is learned from: so many documents of each language, those with the smallest hash of doc_id. Longer ones only
 #: fill it up where a language has too few others, each with at most so many bytes from its first letter on.
@@ -149,7 +151,7 @@ class Model:
         from .words import chunks
 
         raw = [texts[i].lower().encode() for i in use]
-        for a, z in chunks(raw, max(1 << 16, (4 << 20) // max(4, len(self.langs)))):
+        for a, z in chunks(raw, max(1 << 14, (1 << 20) // max(4, len(self.langs)))):
             bits = self.bits(raw[a:z])
             best = bits.argmin(axis=1)
             share = np.exp2(bits.min(axis=1, keepdims=True) - bits)
@@ -171,8 +173,8 @@ def predictor(spark: SparkSession, model: Model):
 
     @F.pandas_udf("lang string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
-        names, scores = shared.value.predict(list(text))
-        return pd.DataFrame({"lang": names, "score": scores})
+        parts = [shared.value.predict(list(text.iloc[k : k + BATCH_ROWS])) for k in range(0, len(text), BATCH_ROWS)]
+        return pd.DataFrame({"lang": [x for names, _ in parts for x in names], "score": np.concatenate([np.zeros(0), *(s for _, s in parts)])})
 
     return predict
 

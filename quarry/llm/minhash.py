@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import words
 from .components import components
-from .scratch import Scratch, unused
+from .scratch import BATCH_ROWS, Scratch, unused
 
 COORDS, POSTED = 64, 32
 POSTED_MISS, MISS = 2e-5, 1e-4
@@ -42,7 +42,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         coord = np.arange(POSTED, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
-        for batch in batches:
+        for batch in (whole.slice(k, BATCH_ROWS) for whole in batches for k in range(0, whole.num_rows, BATCH_ROWS)):
             ids, texts = batch.column(0), words.utf8(batch.column(1))
             for a, b in words.chunks(texts):
                 sets = words.shingle_sets(texts[a:b])

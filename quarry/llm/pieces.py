@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .scratch import BATCH_ROWS
+
 SPACE = "▁"
 #: Cuts of up to so many characters are kept, and so many of them, before all are forgotten.
 KEEP_CHARS, KEEP = 48, 1_000_000
@@ -142,7 +144,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str) -> D
         from .words import chunks
 
         codec = shared.value.codec()
-        for batch in batches:
+        for batch in (whole.slice(k, BATCH_ROWS) for whole in batches for k in range(0, whole.num_rows, BATCH_ROWS)):
             texts = batch.column(1).to_pylist()
             for a, z in chunks([t or "" for t in texts], 8 << 20):
                 ids = [None if t is None else codec.encode(t) for t in texts[a:z]]

@@ -15,7 +15,8 @@ _BYTE[_SPACE] = 0
 _BARE = _BYTE.copy()
 _BARE[[b for b in range(128) if not chr(b).isalnum()]] = 0
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-CHUNK_BYTES = 2 << 20
+#: Texts taken at a time; the arrays over their bytes take some 50 times as much.
+CHUNK_BYTES = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -261,3 +261,38 @@ def test_lines_keep_columns(spark):
 def test_chunks(n):
     texts = [b"x" * 10] * n
     assert [i for a, b in words.chunks(texts, 25) for i in range(a, b)] == list(range(n))
+
+
+def test_batches_of_texts_are_small(spark):
+    """A table with Python in its plan is written in small Arrow batches, and the session's own number comes back."""
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"id": [batch.num_rows]})
+
+    rows = spark.range(3000).coalesce(1).mapInArrow(sizes, "id long")
+    for own, most in (("10000", 1000), ("0", 1000), ("300", 300)):
+        spark.conf.set(key, own)
+        assert Scratch(spark, "batches").save(rows, "rows").agg(F.max("id")).first()[0] == most
+        assert spark.conf.get(key) == own
+    spark.conf.set(key, before)
+
+
+def test_a_worker_takes_few_texts_at_a_time(spark, monkeypatch):
+    """Whatever the batch, signatures come for BATCH_ROWS texts at a time."""
+    import pyarrow as pa
+
+    class Documents:
+        select = lambda self, *cols: self
+        mapInArrow = lambda self, make, schema: make
+
+    taken, chunks = [], words.chunks
+    monkeypatch.setattr(words, "chunks", lambda texts, *more: taken.append(len(texts)) or chunks(texts, *more))
+    n = 2 * minhash.BATCH_ROWS + 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([f"text {i}" for i in range(n)])], ["doc_id", "text"])
+    out = list(minhash.signatures(Documents())([batch]))
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(n))
+    assert taken == [minhash.BATCH_ROWS, minhash.BATCH_ROWS, 5]
