@@ -1,21 +1,26 @@
-"""Near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
-
-A line is the set of its lower-cased words, told apart by 64-bit hashes. Texts are split and hashed once, into a table of sorted sets;
-all that follows reads that. Equal sets are one class, ranked by its earliest line.
-
-Tokens are ordered by rarity: the tokens of all lines are counted in BUCKETS buckets by hash, and a token's order is its bucket's
-level (the count on a scale of quarters of an octave), then its hash. Any one order of all tokens gives the same matches; this one
-makes the lists short. Two sets of sizes n >= m with a Jaccard similarity of at least 0.8 share at least a = ceil(4/9 (n + m)) tokens, so
-they meet in the first m - ceil(8/9 m) + 1 of the smaller and the first n - a + 1 of the larger (prefix filter). The smaller one is
-posted under each such token with the band of its size; the larger one asks in the bands that it can match (length filter), each
-with the prefix that the band's sizes leave it. What stands before and behind a shared token bounds what two sets can share (positional
-filter), and so does a bit map of each set. What passes is verified on the sets themselves.
-
-A line is removed if an earlier one matches it. One match is enough, so a first round compares each class only with a few
-others of a few lists; that settles the members of large groups of near copies, and the second round compares
-the classes that are left with every earlier class that they can meet. No pair is skipped: whatever is left is compared in full.
-Long lists are dealt in blocks, by the number of rows that are posted and that ask there, and the join runs in PASSES over parts of the
-keys, which bounds the disk that it takes at a time.
+r"""Near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
+
+A line is the set of its lower-cased words, told apart by 60-bit hashes. Texts are split and hashed once, for all lines, into a table of what
+the join asks for; texts with lines that may have a match are split again to verify them. Equal sets are one class, ranked by its
+earliest line.
+
+Tokens are ordered by rarity: the upper 4 bits of a token are its bucket's level (the logarithm of a count), the others its hash. The counts
+are those of about SAMPLE_DOCS documents. Any one order of all tokens gives the same matches; this one makes the lists short.
+
+Of two sets A and B with a Jaccard similarity of at least r each lacks few tokens of the other: |A \ B| = x, |B \ A| = y. In that order a token
+that only A has ends at most two runs of neighbours (t, u) of A, and one of B. So of the first 2x + y + 1 pairs of neighbours in A at
+least one is such a pair in B too, and the first that is stands among the first 2y + x + 1 of B: where i pairs of A before it are lost,
+p of A's and q of B's own tokens stand there, i <= 2p + q, and its place in B is i - p + q <= p + 2q. As 2x + y <= 2 (1 - r) |A|, each
+set is posted under its first floor(2 (1 - r) |A|) + 1 pairs of neighbours, whatever the other's size. Two rare words that are
+neighbours are seldom those of another line by chance, so most lists have one row, and those go where the lists are counted.
+
+One pair of neighbours more is posted, so two sets that match meet in two lists. Of lists of FEW rows at most those pairs of classes are
+compared that meet in several; a pair of classes that match but meet there once at most meets in a longer list.
+
+A line is removed if an earlier one matches it. One match is enough, so a first round compares each class of the longer lists only with a few
+others; that settles the members of large groups of near copies, and the second round compares the classes that are left with
+every earlier class in their longer lists that the bit maps of both allow. No pair is skipped: whatever is left is compared in full.
+Long lists are dealt in blocks there. The lists are made in PASSES over parts of the keys, which bounds the disk that it takes at a time.
 """
 
 from functools import reduce
@@ -26,17 +31,22 @@ from .scratch import Scratch, unused
 
 BUCKETS = 1 << 17
 BLANKS = "\t\r\x0b\x0c"
-#: The first round: so many of the last tokens of each prefix, so many sets before it in a list, and about so many rows a list before it
-#: is split. After each part of the second round so many pairs of each set are verified.
-FIRST_TOKENS, FIRST_BEFORE, FIRST_ROWS, LIKELIEST = 4, 3, 1 << 17, 8
-#: Bands grow by this factor; lists of about so many rows are dealt in blocks.
-BAND, BLOCK_ROWS = 1.5, 1 << 13
-PASSES, SETTLE_AFTER = 8, (0, 1, 3, 7)
-#: Tables of two or three numbers a row are broadcast up to so many rows.
+#: Documents whose tokens are counted for the order of all tokens.
+SAMPLE_DOCS = 1 << 14
+#: The first round: so many sets before it in a list and the first one, of a part of a list of about so many rows; so many of them verified.
+FIRST_BEFORE, FIRST_ROWS, LIKELIEST = 3, 1 << 17, 3
+#: In lists of so many rows the classes are compared that meet in several; a pair of neighbours more is posted than a match needs for one.
+FEW = 8
+#: Longer lists are dealt in blocks of about so many rows.
+BLOCK_ROWS = 1 << 13
+PASSES = 2
+#: Tables of few numbers a row are broadcast up to so many rows.
 BROADCAST_ROWS = 1 << 18
-LOW56 = (1 << 56) - 1
+LOW60 = (1 << 60) - 1
 #: Sets of so many tokens have a map of about half of them.
 LONG, MAPS = 112, ["m1", "m2"]
+KEY = ["a", "doc", "pos"]
+CLASS = [*KEY, "n", *MAPS]
 
 
 def own_id() -> Column:
@@ -45,9 +55,9 @@ def own_id() -> Column:
 
 
 def hashed_words(line: Column) -> Column:
-    """The sorted distinct hashes of the words of a plain() line."""
+    """The distinct hashes of the words of a plain() line."""
     hashes = F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))))
+    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
 
 
 def plain(text: Column) -> Column:
@@ -58,37 +68,47 @@ def plain(text: Column) -> Column:
     return F.when(text.rlike(f"[{BLANKS}]"), spaced).otherwise(low)
 
 
-def token_sets(docs: DataFrame) -> DataFrame:
-    """doc, text_key, pos, t of each line; t is empty for a line without words."""
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc, text_key, text of the texts that aren't empty."""
     text = F.col("text").cast("string")
-    rows = docs.where(text != "").select(own_id().alias("doc"), F.xxhash64(text).alias("text_key"), plain(text).alias("text"))
-    lines = rows.select("doc", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return lines.select("doc", "text_key", "pos", hashed_words(F.col("line")).alias("t"))
+    return docs.where(text != "").select(own_id().alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
+def lines_of(rows: DataFrame, *cols: str) -> DataFrame:
+    """doc, text_key, the columns, pos, line (plain) of each line."""
+    return rows.select("doc", "text_key", *cols, F.posexplode(F.split(plain(F.col("text")), "\n", -1)).alias("pos", "line"))
 
 
 def bucket(token: Column) -> Column:
     return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def levels(sets: DataFrame) -> DataFrame:
-    """One row, one array of BUCKETS levels, each in the upper 8 bits of a number: 1 + 4 * log2(1 + the bucket's count). The counts are
-    of all tokens."""
-    counts = sets.select(F.explode("t").alias("tok")).groupBy(bucket(F.col("tok")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    every = sets.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
-    level = F.shiftleft(F.least(F.lit(127).cast("long"), 1 + F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0))))), 56)
+def levels(docs: DataFrame) -> DataFrame:
+    """One row, one array of BUCKETS levels, each in the upper 4 bits of a number: log2(1 + the bucket's count), 15 at most. Only the order of
+    tokens comes from the sample."""
+    rows, part = rows_of(docs), max(1, docs.count() // SAMPLE_DOCS)
+    lines = lines_of(rows.where(F.pmod(F.col("text_key"), F.lit(part)) == 0))
+    counts = lines.select(F.explode(hashed_words(F.col("line"))).alias("tok")).groupBy(bucket(F.col("tok")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    level = F.shiftleft(F.least(F.lit(15).cast("long"), F.floor(F.log2(1 + F.coalesce("n", F.lit(0))))) - 8, 60)
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", level.alias("level")))), lambda x: x.level).alias("level"))
 
 
-def by_rarity(level: Column) -> Column:
-    """The tokens of t, rarest first: the bucket's level in the upper 8 bits, the hash in the others."""
-    return F.sort_array(F.transform("t", lambda t: F.get(level, bucket(t)).bitwiseOR(t.bitwiseAND(F.lit(LOW56)))))
+def with_sets(lines: DataFrame, level: DataFrame) -> DataFrame:
+    """The lines that have words, with their tokens t in place of the line, rarest first."""
+    # The levels are a subquery's value: they are in no plan, and the optimiser puts them in where they are used.
+    leveled = lines.where(F.trim("line") != "").select("*", level.scalar().alias("level"))
+    by_rarity = F.sort_array(F.transform(hashed_words(F.col("line")), lambda t: F.get(F.col("level"), bucket(t)).bitwiseOR(t.bitwiseAND(F.lit(LOW60)))))
+    return leveled.select(*(c for c in lines.columns if c != "line"), by_rarity.alias("t"))
+
+
+def digests() -> list[Column]:
+    return [F.xxhash64("t").alias("a"), F.xxhash64(F.lit(7), "t").alias("b")]
 
 
-def parts_of(token: Column, rows: int) -> Column:
-    """A power of two, 1 at least: in so many parts the list of a token of this level has about so many rows (a power of two) each, at
-    most: the level counts all tokens of the bucket."""
-    over = F.greatest(F.lit(0), F.shiftright(F.shiftright(token, 56).cast("int") + 2, 2) - rows.bit_length() + 1)
-    return F.call_function("shiftleft", F.lit(1), over)
+def enough(both: Column, n: Column, m: Column, num: int, den: int) -> Column:
+    """both / (n + m - both) >= num / den."""
+    return both * (num + den) >= (n + m) * num
 
 
 def bit_maps(tokens: Column, n: Column) -> list[Column]:
@@ -106,117 +126,90 @@ def lacks(p: str, q: str) -> Column:
     and one that isn't only the part that both maps hold counts."""
     lacking = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))).cast("int")
     p1, p2, q1, q2 = (F.col(f"{s}{m}") for s in (p, q) for m in MAPS)
-    mixed = F.when(size(p) < LONG, lacking(p1, q1.bitwiseOR(q2))).otherwise(lacking(p1.bitwiseOR(p2), q1))
-    return F.when((size(p) < LONG) == (size(q) < LONG), lacking(p1, q1) + lacking(p2, q2)).otherwise(mixed)
-
+    mixed = F.when(F.col(f"{p}n") < LONG, lacking(p1, q1.bitwiseOR(q2))).otherwise(lacking(p1.bitwiseOR(p2), q1))
+    return F.when((F.col(f"{p}n") < LONG) == (F.col(f"{q}n") < LONG), lacking(p1, q1) + lacking(p2, q2)).otherwise(mixed)
 
-def ceil_of(n: Column, num: int, den: int) -> Column:
-    """ceil(n * num / den)"""
-    return F.floor((n * num + (den - 1)) / den)
 
-
-def enough(both: Column, n: Column, m: Column, num: int, den: int) -> Column:
-    """both / (n + m - both) >= num / den."""
-    return both * (num + den) >= (n + m) * num
+def alike(p: str, q: str, num: int, den: int) -> Column:
+    """The length filter and the bound by the maps."""
+    n, m = F.col(f"{p}n"), F.col(f"{q}n")
+    both = F.least(n - lacks(p, q), m - lacks(q, p))
+    return (n * den >= m * num) & (m * den >= n * num) & enough(both, n, m, num, den)
 
 
-def band(n: Column) -> Column:
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("int")
+def prefix_pairs(n: Column, num: int, den: int) -> Column:
+    """Of so many pairs of neighbours of a set at most all but one are lost in a match."""
+    return F.floor(n * (2 * (den - num)) / den).cast("int")
 
 
-def size(p: str) -> Column:
-    return F.shiftright(F.col(f"{p}size_at"), 32)
+def posted(classes: DataFrame, part: int) -> DataFrame:
+    """sig, a: one row for each pair of neighbours in the prefix, of one part of the keys."""
+    pairs = classes.select("a", "prefix", F.posexplode("prefix").alias("i", "tok")).where(F.col("i") < F.size("prefix") - 1)
+    return pairs.select(F.xxhash64("tok", F.get("prefix", F.col("i") + 1)).alias("sig"), "a").where(F.pmod(F.shiftright("sig", 20), F.lit(PASSES)) == part)
 
 
-def place(p: str) -> Column:
-    return F.col(f"{p}size_at").bitwiseAND(F.lit(0xFFFFFFFF))
+def shared(rows: DataFrame) -> DataFrame:
+    """sig, a, c, last of the lists of several rows; c: their number, last: the largest a. Of a list of two, the pair, one row."""
+    # Both uses take the same columns, so the rows are shuffled once.
+    rows = rows.repartition("sig")
+    lists = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.max("a").alias("last")).where("c > 1")
+    return rows.join(lists.hint("shuffle_hash"), "sig").where("c > 2 or a != last")
 
 
-def alike(p: str, q: str, num: int, den: int) -> Column:
-    """The length filter and the bound by the maps."""
-    n, m = size(p), size(q)
-    shared = F.least(n - lacks(p, q), m - lacks(q, p))
-    return (n * den >= m * num) & (m * den >= n * num) & enough(shared, n, m, num, den)
+def near_pairs(hot: DataFrame) -> DataFrame:
+    """p, q: the classes that meet in several lists of FEW rows at most. Those of a match meet in as many, or in a longer list."""
+    some = hot.where(F.col("c").between(3, FEW)).select("sig", "a")
+    of_some = some.withColumnRenamed("a", "p").join(some.withColumnRenamed("a", "q"), "sig").where("p < q")
+    pairs = hot.where("c = 2").select(F.col("a").alias("p"), F.col("last").alias("q")).unionByName(of_some.select("p", "q"))
+    return pairs.groupBy("p", "q").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1").select("p", "q")
 
 
-def could(p: str, q: str, num: int, den: int) -> Column:
-    """The positional filter at a shared token, and alike()."""
-    n, m = size(p), size(q)
-    around = 1 + F.least(place(p), place(q)) + F.least(n - place(p) - 1, m - place(q) - 1)
-    return enough(around, n, m, num, den) & alike(p, q, num, den)
+def by_rank(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The near_pairs() that could match, the earlier class first."""
+    side = lambda p: sets.select(F.struct(*CLASS).alias(p), F.col("a").alias(f"{p}_a"))
+    both = near.join(side("u"), F.col("p") == F.col("u_a")).join(side("v"), F.col("q") == F.col("v_a")).where(alike("u.", "v.", num, den))
+    swap = F.struct("v.doc", "v.pos") < F.struct("u.doc", "u.pos")
+    both = both.where(F.struct("v.doc", "v.pos") != F.struct("u.doc", "u.pos")).select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("x"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("y"))
+    return both.select(*(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "xy" for c in KEY))
 
 
-def postings(classes: DataFrame, tokens: Column, *cols) -> DataFrame:
-    """One narrow row for each of the tokens. size_at: the set's size in the upper half, the token's place in the lower; prev: the token before
-    it in the prefix, of which the tokens are the first ones."""
-    each = classes.select("a", "n", *MAPS, "doc", "pos", "prefix", *cols, F.posexplode(tokens).alias("i", "tok"))
-    return each.select("tok", F.get("prefix", F.col("i") - 1).alias("prev"), "a", "doc", "pos", *MAPS, *cols, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size_at"))
+def long_lists(members: DataFrame) -> DataFrame:
+    """sig, ones, twos: how many blocks of about BLOCK_ROWS the earlier and the later rows of a list make, of the lists where that isn't
+    one each."""
+    blocks = F.ceil(F.col("c") / BLOCK_ROWS).cast("int")
+    return members.where(F.col("c") > BLOCK_ROWS).select("sig", blocks.alias("ones"), blocks.alias("twos")).distinct()
 
 
-def first_round(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """For each class the likeliest earlier one, by the maps, of the first and the ones just before it in the lists of its rarest
-    token and of the last ones of its prefix, which near copies share."""
-    tokens = F.array_distinct(F.concat(F.slice("prefix", 1, 1), F.slice("prefix", F.greatest(F.size("prefix") - FIRST_TOKENS + 1, F.lit(1)), F.lit(FIRST_TOKENS))))
-    posts = postings(classes, F.when(F.size("prefix") <= FIRST_TOKENS, F.col("prefix")).otherwise(tokens))
+def likely_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """For each class the LIKELIEST earlier ones, by the maps, of the first ones of its lists and some just before it."""
     # Any part of a list will do here, so a long one is split.
-    part = F.pmod(F.xxhash64("doc", "pos"), parts_of(F.col("tok"), FIRST_ROWS))
-    in_list = Window.partitionBy("tok", "part").orderBy("doc", "pos")
-    cols = ["a", "doc", "pos", *MAPS, "size_at"]
-    me = F.struct(*cols)
+    part = F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / FIRST_ROWS)).cast("int")
+    in_list = Window.partitionBy("sig", "part").orderBy("doc", "pos", "a")
+    me = F.struct(*CLASS)
     others = [F.first(me), *(F.lag(me, k) for k in range(1, FIRST_BEFORE + 1))]
-    near = posts.withColumn("part", part).select(*cols, *(x.over(in_list).alias(f"x{k}") for k, x in enumerate(others)))
-    near = near.select(*cols, F.explode(F.array(*(f"x{k}" for k in range(len(others))))).alias("x"))
-    # Places are those in these few tokens, so only sizes and maps tell.
+    near = members.withColumn("part", part).select(*CLASS, *(x.over(in_list).alias(f"x{k}") for k, x in enumerate(others)))
+    near = near.select(*CLASS, F.explode(F.array(*(f"x{k}" for k in range(len(others))))).alias("x"))
     near = near.where((F.struct("x.doc", "x.pos") < F.struct("doc", "pos")) & alike("", "x.", num, den))
-    best = near.groupBy("a", "doc", "pos").agg(F.min(F.struct(lacks("", "x.") + lacks("x.", ""), *(F.col(f"x.{c}").alias(c) for c in ("a", "doc", "pos")))).alias("x"))
-    return best.select(*(F.col(f"x.{c}").alias(f"x_{c}") for c in ("a", "doc", "pos")), *(F.col(c).alias(f"y_{c}") for c in ("a", "doc", "pos")))
-
-
-def lists(flagged: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The rows that the classes post as the smaller set of a pair, and those that they ask with as the larger one, by tok and band."""
-    n, both = F.col("n"), num + den
-    posted = F.slice("prefix", F.lit(1), (n - ceil_of(n, 2 * num, both) + 1).cast("int"))
-    smaller = postings(flagged.withColumn("band", band(n)), posted, "band")
-    # The least size of a band: one less than it may be only makes the prefix longer.
-    least = F.greatest(ceil_of(n, num, den), F.floor(F.pow(F.lit(BAND), F.col("band"))))
-    asked = F.slice("prefix", F.lit(1), F.least(F.size("prefix"), (n - ceil_of(n + least, num, both) + 1).cast("int")))
-    larger = postings(flagged.select("*", F.explode(F.sequence(band(ceil_of(n, num, den)), band(n))).alias("band")), asked, "band")
-    return smaller, larger
-
-
-def long_lists(flagged: DataFrame, num: int, den: int) -> DataFrame:
-    """tok, band, ones, twos: how many blocks of about BLOCK_ROWS the rows posted and the rows that ask make, of the lists where that
-    isn't one each. A token's level bounds its list from above, so only lists of high levels are counted."""
-    smaller, larger = (rows.select("tok", "band") for rows in lists(flagged, num, den))
-    rows = smaller.select("*", F.lit(1).alias("one"), F.lit(0).alias("two")).unionByName(larger.select("*", F.lit(0).alias("one"), F.lit(1).alias("two")))
-    counts = rows.where(parts_of(F.col("tok"), BLOCK_ROWS) > 1).groupBy("tok", "band").agg(*(F.sum(c).alias(c) for c in ("one", "two")))
-    blocks = [F.ceil(F.col(c) / BLOCK_ROWS).cast("int").alias(f"{c}s") for c in ("one", "two")]
-    return counts.where("one > 0 and two > 0").select("tok", "band", *blocks).where("ones > 1 or twos > 1")
-
-
-def second_round(flagged: DataFrame, long: DataFrame, num: int, den: int, part: int) -> DataFrame:
-    """Pairs of a class that isn't settled and an earlier one, by the shared tokens of one part of the keys. A place below 0 tells that
-    a class is settled."""
-    smaller, larger = lists(flagged, num, den)
-
-    def dealt(posts: DataFrame, mine: str, other: str) -> DataFrame:
-        posts = posts.where(F.pmod(F.shiftright("tok", 20), F.lit(PASSES)) == part).join(long, ["tok", "band"], "left")
+    pairs = near.select((lacks("", "x.") + lacks("x.", "")).alias("far"), *(F.col(f"{s}{c}").alias(f"{p}_{c}") for p, s in (("x", "x."), ("y", "")) for c in KEY)).distinct()
+    of_y = Window.partitionBy(*(f"y_{c}" for c in KEY)).orderBy("far", "x_doc", "x_pos", "x_a")
+    return pairs.withColumn("k", F.row_number().over(of_y)).where(F.col("k") <= LIKELIEST).drop("k", "far")
+
+
+def every_pair(members: DataFrame, gone: DataFrame, long: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a class that isn't settled and an earlier one in a list of more than FEW rows."""
+
+    def dealt(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        rows = rows.join(long, "sig", "left")
         blocks = {c: F.coalesce(F.col(f"{c}s"), F.lit(1)) for c in (mine, other)}
-        posts = posts.select("*", F.pmod(F.xxhash64("doc", "pos"), blocks[mine]).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), blocks[other] - 1)).alias(other))
-        return posts.select(F.xxhash64("tok", "band", "one", "two").alias("key"), "prev", "a", "doc", "pos", *MAPS, "size_at")
-
-    p, q = dealt(smaller, "one", "two").alias("p"), dealt(larger, "two", "one").alias("q")
-    at = {s: F.greatest(F.col(f"{s}.pos"), -1 - F.col(f"{s}.pos")) for s in "pq"}
-    before = lambda s, t: (F.col(f"{s}.doc") < F.col(f"{t}.doc")) | ((F.col(f"{s}.doc") == F.col(f"{t}.doc")) & (at[s] < at[t]))
-    late = (before("p", "q") & (F.col("q.pos") >= 0)) | (before("q", "p") & (F.col("p.pos") >= 0))
-    # Of two equal sizes, each of which asks the other, one is taken.
-    once = (size("q.") > size("p.")) | ((size("q.") == size("p.")) & (F.col("q.a") > F.col("p.a")))
-    # Two sets that share the token before too meet there, with the same bounds: a run of shared tokens gives one row, not one for each.
-    begins = F.col("p.prev").isNull() | F.col("q.prev").isNull() | (F.col("p.prev") != F.col("q.prev"))
-    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & begins & once & could("p.", "q.", num, den) & late)
-    end = lambda s, t, c: F.when(before("p", "q"), at[s] if c == "pos" else F.col(f"{s}.{c}")).otherwise(at[t] if c == "pos" else F.col(f"{t}.{c}"))
-    far = (lacks("p.", "q.") + lacks("q.", "p.")).alias("far")
-    return pairs.select(far, *(end(s, t, c).alias(f"{name}_{c}") for name, s, t in (("x", "p", "q"), ("y", "q", "p")) for c in ("a", "doc", "pos"))).distinct()
+        rows = rows.select("*", F.pmod(F.xxhash64("a"), blocks[mine]).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), blocks[other] - 1)).alias(other))
+        return rows.select("sig", "one", "two", *CLASS)
+
+    late = members.join(if_small(gone.select(*KEY)), KEY, "left_anti")
+    x, y = dealt(members, "one", "two").alias("x"), dealt(late, "two", "one").alias("y")
+    meet = reduce(Column.__and__, (F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("sig", "one", "two")))
+    earlier = F.struct("x.doc", "x.pos") < F.struct("y.doc", "y.pos")
+    both = x.join(y, meet & earlier & alike("x.", "y.", num, den))
+    return both.select(*(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "xy" for c in KEY)).distinct()
 
 
 def if_small(keys: DataFrame) -> DataFrame:
@@ -224,75 +217,48 @@ def if_small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
 
 
-def settle(flagged: DataFrame, gone: DataFrame) -> DataFrame:
-    """flagged, with a place below 0 also for the classes that are gone."""
-    settled = flagged.join(if_small(gone).withColumn("settled", F.lit(True)), ["a", "b"], "left")
-    return settled.withColumn("pos", F.when(F.col("settled") & (F.col("pos") >= 0), -1 - F.col("pos")).otherwise(F.col("pos"))).drop("settled")
-
-
 def verified(sets: DataFrame, pairs: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """a, b (the digests) of the later ones of the pairs that match."""
-    ends = [pairs.select(*(F.col(f"{p}_{c}").alias(c) for c in ("a", "doc", "pos"))) for p in "xy"]
-    used = scratch.save(ends[0].unionByName(ends[1]).distinct(), f"{name}-used")
-    found = sets.join(if_small(used), ["doc", "pos"]).where(F.xxhash64("t") == F.col("a")).select("a", "doc", "pos", digest_b().alias("b"), "t")
-    found = scratch.save(found.dropDuplicates(["a", "doc", "pos"]), f"{name}-sets")
-    side = lambda p: found.select(*(F.col(c).alias(f"{p}_{c}") for c in found.columns))
-    both = pairs.join(side("x"), ["x_a", "x_doc", "x_pos"]).join(side("y"), ["y_a", "y_doc", "y_pos"])
+    """a, b, doc, pos of the later ones of the pairs that match."""
+    side = lambda p, *cols: sets.select(*(F.col(c).alias(f"{p}_{c}") for c in (*KEY, *cols, "t")))
+    both = pairs.join(side("x"), [f"x_{c}" for c in KEY]).join(side("y", "b"), [f"y_{c}" for c in KEY])
     good = both.where(enough(F.size(F.array_intersect("x_t", "y_t")), F.size("x_t"), F.size("y_t"), num, den))
-    done = scratch.save(good.select(F.col("y_a").alias("a"), F.col("y_b").alias("b")).distinct(), f"{name}-matched")
-    scratch.drop(f"{name}-used", f"{name}-sets")
-    return done
-
-
-def digest_b() -> Column:
-    return F.xxhash64(F.lit(7), "t")
+    return scratch.save(good.select(*(F.col(f"y_{c}").alias(c) for c in ("a", "b", "doc", "pos"))).distinct(), f"{name}-matched")
 
 
 def later_matches(spark: SparkSession, docs: DataFrame, scratch: Scratch, num: int = 4, den: int = 5) -> DataFrame:
     """doc, text_key, gone (the places of the lines to remove) of the texts that lose a line."""
-    sets = scratch.save(token_sets(docs), "sets", "orc", compression="zstd").where(F.size("t") > 0)
-    level = scratch.save(levels(sets), "levels")
+    if num * 5 < den * 4:
+        raise ValueError("a share of at least 4/5 is needed: below, two small sets may have no neighbours in common")
+    level = scratch.save(levels(docs), "levels")
     n, here = F.size("t"), F.struct("doc", "pos")
-    lines = sets.select("doc", "text_key", "pos", F.xxhash64("t").alias("a"), digest_b().alias("b"))
-    # The levels are a subquery's value: they are in no plan, and the optimiser puts them in where they are used.
-    full = sets.select("*", level.scalar().alias("level")).select(
-        F.xxhash64("t").alias("a"), digest_b().alias("b"), here.alias("rank"), n.alias("n"),
-        F.slice(by_rarity(F.col("level")), F.lit(1), (n - ceil_of(n, num, den) + 1).cast("int")).alias("prefix"), *bit_maps(F.col("t"), n),
-    )
-    classes = full.groupBy("a", "b").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("lines"), F.first(F.struct("n", "prefix", *MAPS)).alias("x"))
-    classes = scratch.save(classes.select("a", "b", "rank.doc", "rank.pos", "lines", "x.*"), "classes", "orc", compression="zstd")
-
-    first = scratch.save(first_round(classes, num, den), "first")
-    gone = verified(sets, first, num, den, scratch, "round1")
-    flagged = classes.select("a", "b", "n", *MAPS, "doc", "pos", "prefix")
-    flagged = scratch.save(settle(flagged, gone), "flagged0", "orc", compression="zstd")
-    long = if_small(scratch.save(long_lists(flagged, num, den), "long"))
+    prefix = F.slice("t", F.lit(1), prefix_pairs(n, num, den) + 3)
+    lines = scratch.save(with_sets(lines_of(rows_of(docs)), level).select("doc", "text_key", "pos", *digests(), n.alias("n"), prefix.alias("prefix")), "lines", "orc", compression="lz4")
+    classes = lines.groupBy("a", "b").agg(F.min(here).alias("rank"), F.count(F.lit(1)).alias("lines"), F.first(F.struct("n", "prefix")).alias("x"))
+    classes = scratch.save(classes.select("a", "b", "rank.doc", "rank.pos", "lines", "x.*"), "classes", "orc", compression="lz4")
+
+    hot = reduce(DataFrame.unionByName, [scratch.save(shared(posted(classes, k)), f"shared{k}") for k in range(PASSES)])
+    near, many = scratch.save(near_pairs(hot), "near"), hot.where(F.col("c") > FEW)
+    ids = near.select(F.explode(F.array("p", "q")).alias("a")).unionByName(many.select("a")).distinct()
+    ranked = scratch.save(classes.select(*KEY).join(if_small(scratch.save(ids, "ids")), "a"), "ranked")
+    places = scratch.save(ranked.groupBy("doc").agg(F.collect_set("pos").alias("places")), "places")
     several = scratch.save(classes.where("lines > 1").select("a", "b", here.alias("rank")), "several")
-    scratch.drop("first", "classes")
-    # The first parts of the keys settle most classes that have a match, so that the next ones ask for fewer pairs; what isn't settled by
-    # its likeliest pairs is verified with all of them at last.
-    parts = []
-    of_y = Window.partitionBy("y_a", "y_doc", "y_pos").orderBy("far", "x_doc", "x_pos", "x_a")
-    for k in range(PASSES):
-        parts.append(scratch.save(second_round(flagged, long, num, den, k), f"pairs{k}"))
-        if k in SETTLE_AFTER:
-            likely = scratch.save(parts[k].withColumn("k", F.row_number().over(of_y)).where(F.col("k") <= LIKELIEST).drop("k", "far"), f"likely{k}")
-            more = verified(sets, likely, num, den, scratch, f"likely{k}")
-            gone = gone.unionByName(more)
-            flagged = scratch.save(settle(flagged, more), f"flagged{k + 1}", "orc", compression="zstd")
-            scratch.drop("flagged0", *(f"flagged{i + 1}" for i in SETTLE_AFTER if i < k))
-    gone = scratch.save(gone.distinct(), "settled")
-    left = reduce(DataFrame.unionByName, parts).drop("far").distinct().join(gone.select(F.col("a").alias("y_a")), "y_a", "left_anti")
-    pairs = scratch.save(left.select("x_a", "x_doc", "x_pos", "y_a", "y_doc", "y_pos"), "pairs")
-    scratch.drop("round1-matched", *(f"pairs{k}" for k in range(PASSES)), *(f"{t}{k}{u}" for k in SETTLE_AFTER for t, u in (("flagged", ""), ("likely", ""), ("likely", "-matched"))), f"flagged{SETTLE_AFTER[-1] + 1}")
-    more = verified(sets, pairs, num, den, scratch, "round2")
-    scratch.drop("pairs", "levels", "long")
+    held = lines_of(rows_of(docs).join(if_small(places), "doc"), "places").where(F.array_contains("places", F.col("pos"))).select("doc", "pos", "line")
+    # Of rows with one doc_id but other texts only the classes' earliest lines.
+    sets = with_sets(held, level).select(*digests(), "doc", "pos", "t").join(if_small(ranked), KEY, "left_semi").dropDuplicates([*KEY, "b"])
+    sets = scratch.save(sets.select("*", n.alias("n"), *bit_maps(F.col("t"), n)), "sets", "orc", compression="lz4")
+    members = scratch.save(many.join(sets.select(*CLASS), "a"), "members")
+    scratch.drop("classes", "places", "levels", "ids", "ranked", *(f"shared{k}" for k in range(PASSES)))
+
+    long = if_small(scratch.save(long_lists(members), "long"))
+    likely = by_rank(near, sets, num, den).unionByName(likely_pairs(members, num, den)).distinct()
+    gone = verified(sets, scratch.save(likely, "likely"), num, den, scratch, "likely")
+    more = verified(sets, scratch.save(every_pair(members, gone, long, num, den), "pairs"), num, den, scratch, "pairs")
 
     # A line goes if its class has an earlier match, or if it isn't the class's earliest one.
-    late = gone.unionByName(more).distinct().withColumn("late", F.lit(True))
+    late = gone.unionByName(more).select("a", "b").distinct().withColumn("late", F.lit(True))
     state = scratch.save(several.join(late, ["a", "b"], "full"), "state")
-    scratch.drop("several", "settled", "round2-matched")
-    lost = lines.join(state, ["a", "b"]).where(F.coalesce("late", F.lit(False)) | (here != F.col("rank")))
+    scratch.drop("several", "members", "sets", "long", "near", "likely", "likely-matched", "pairs", "pairs-matched")
+    lost = lines.select("doc", "text_key", "pos", "a", "b").join(state, ["a", "b"]).where(F.coalesce("late", F.lit(False)) | (here != F.col("rank")))
     return lost.groupBy("doc", "text_key").agg(F.collect_set("pos").alias("gone"))
 
 
@@ -305,7 +271,7 @@ def remove_later(spark: SparkSession, docs: DataFrame, removed: str, num: int =
     are. A text that loses all its lines is empty. Other columns may have any names; removed must be a new one."""
     scratch = Scratch(spark, "lines")
     gone = scratch.save(later_matches(spark, docs, scratch, num, den), "gone")
-    scratch.drop("sets", "state")
+    scratch.drop("lines", "state")
     text = F.col("text").cast("string")
     doc, key, places = unused(docs, "doc", "text_key", "gone")
     lost = gone.select(F.col("doc").alias(doc), F.col("text_key").alias(key), F.col("gone").alias(places))
