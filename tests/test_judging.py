@@ -32,6 +32,27 @@ def test_dry_run_shows_every_probability(spark):
     assert judging.dry_run_totals(outcome, QS).first().asDict() == {"n": 5, "kept": 3, "via": 1, "must_only": 1, "excluded": 1, "only_1": 2, "only_2": 0}
 
 
+def test_dry_run_reads_its_tables_once(spark):
+    """The sample is picked once, and posts and parts are read as often as it takes to find those of the sample, whatever the run does with them."""
+    passed = {name: spark.sparkContext.accumulator(0) for name in ("picked", "posts", "parts")}
+
+    def counted(df, name):
+        def each(batches):
+            for x in batches:
+                passed[name].add(len(x))
+                yield x
+
+        return df.mapInPandas(each, df.schema)
+
+    posts = counted(spark.createDataFrame([(f"p{i}", "s", None, "0.4 0.3 0.3 0.0") for i in range(30)], "id string, sub string, link_flair string, state string"), "posts")
+    parts = counted(spark.createDataFrame([(f"p{i}", "t", k, "0.2 0.1", 50, False) for i in range(30) for k in (1, 2)], "post_id string, root string, part int, state string, chars int, has_hit boolean"), "parts")
+    picked = counted(spark.createDataFrame([(f"p{i}", "chosen") for i in range(4)], "id string, label string"), "picked")
+    rows, outcome = judging.dry_run(picked, posts, parts, QS, filtering.Answers(spark, Fixed()))
+    assert {r.id: (r.decision, r.n_threads) for r in rows.collect()} == {f"p{i}": ("drop", 1) for i in range(4)}
+    assert judging.dry_run_totals(outcome, QS).first().n == 4
+    assert {name: n.value for name, n in passed.items()} == {"picked": 4, "posts": 30, "parts": 60}
+
+
 def test_show(spark):
     posts = spark.createDataFrame([("x1", 1, "sub", "ann", "One", "text", 1704067200, 3, "https://example.com"), ("x2", 2, "sub", "bob", "Two", "", 1704067200, 3, "")], "id string, pid long, sub string, author string, title string, selftext string, created long, score long, url string")
     comments = spark.createDataFrame([("a", "x1", None, "c", 1, 5, "later"), ("b", "x1", None, "c", 1, 4, "first"), ("k", "x1", "b", "d", 1, 9, "below")], "id string, post_id string, parent string, author string, score long, created long, body string")
