@@ -44,6 +44,20 @@ def test_stratified(spark):
     assert sorted(x for x in got.values()).count("other") == 2 and len(got) == 10
 
 
+def test_stratified_reads_the_pool_once(spark):
+    """The strata, what makes them up and whoever uses the sample don't search again."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            passed.add(len(x))
+            yield x
+
+    pool = spark.createDataFrame([(f"p{i}", i < 3) for i in range(20)], "id string, text_match boolean").mapInPandas(counted, "id string, text_match boolean")
+    got = sampling.stratified(pool, 10, spark.createDataFrame([("p4",), ("p9",)], "id string"))
+    assert got.count() == 10 == len({r.id for r in got.collect()}) and passed.value == 20
+
+
 def test_budget(spark):
     r = random.Random(4)
     sizes = [(i, r.randint(0, 900), r.randint(1, 60), r.randint(1, 9)) for i in range(1500)]
