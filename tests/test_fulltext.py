@@ -119,3 +119,19 @@ def test_no_token_is_shuffled(spark):
             ("post", "", "selftext", "x", [0]), ("post", "", "selftext", "y", [1]), ("post", "", "title", "x", [0]), ("post", "1", "selftext", "a", [0, 1, 2]), ("post", "1", "selftext", "b", [1]),
             ("post", "1", "selftext", "c", [0]), ("post", "1", "title", "a", [1]), ("post", "1", "title", "b", [0]),
         ]
+
+
+@pytest.mark.parametrize("analyser", ["plain", "porter"])
+def test_texts_are_searched_as_their_postings_are(spark, postings, analyser):
+    """Only postings of the queries' terms are made, at their places in the whole text, with the hits of all postings."""
+    docs = spark.createDataFrame(DOCS, "id string, title string, selftext string")
+    queries = {q: q for q in ["eggs OR gecko", '"the eggs"', "NEAR(eggs sand, 2)", "eggs NOT sand", "hat*", "title:eggs", "the (sand OR geck*)", '"in the eggs" OR breed']}
+    found = fulltext.search_texts(docs, "post", "id", ["title", "selftext"], queries, analyser)
+    want = fulltext.search_all(postings[analyser], "post", ["title", "selftext"], queries, analyser)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    some = fulltext.build_postings(docs, "post", "id", ["title", "selftext"], analyser, fulltext.wanted_by([parse("eggs inc*", analyser)]))
+    key = lambda df: sorted((r.doc, r.col, r.term, tuple(r.positions)) for r in df.collect())
+    eggs = parse("eggs", analyser).phrases[0][0]
+    assert key(some) == key(postings[analyser].where((F.col("term") == eggs) | F.col("term").startswith("inc"))) and some.count() >= 6
+    twice = fulltext.search_texts(docs.unionByName(spark.createDataFrame([("1", None, "gecko")], docs.schema)), "post", "id", ["title", "selftext"], {"q": "gecko eggs"}, analyser)
+    assert {r.doc for r in twice.collect()} == {"1", "5"}
